@@ -12,6 +12,10 @@ from chainloom.llm.common import Scratch, blocks, hash_shingles, hash_words
 SIMILARITY = 0.8
 #: Two sets of similarity s share no band with probability (1 - s**ROWS)**BANDS: 5e-7 at 0.8, 1e-9 at 0.85.
 BANDS, ROWS = 48, 6
+#: Of each set's first 256 minima one bit is kept. Sets of similarity s agree in (1 + s) / 2 of them; five standard deviations less is held too few, which misses 1e-6 at most.
+BITS = 256
+#: Members of a band that all others in it are compared with first.
+CENTRES = 3
 #: So many ids at most are broadcast (8 bytes each, counted first); more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -42,7 +46,7 @@ def shingle_sets(column, k: int):
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (128 bits that name the set), bands (a hash of each band's minima; empty for an empty set)."""
+    """doc_id, n_shingles, k1 and k2 (128 bits that name the set), bands (a hash of each band's minima, then four longs of one bit of each of 256 minima; empty for an empty set)."""
     from pyspark.sql.types import ArrayType
 
     schema = StructType([docs.schema["doc_id"]]).add("n_shingles", LongType()).add("k1", LongType()).add("k2", LongType()).add("bands", ArrayType(LongType()))
@@ -61,7 +65,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         bands.append(np.zeros(0, np.int64))
                         continue
                     if key not in known:
-                        known[key] = (minima(s).astype(np.uint64).reshape(BANDS, ROWS) * _fold).sum(axis=1, dtype=np.uint64).view(np.int64)
+                        least = minima(s)
+                        cells = (least.astype(np.uint64).reshape(BANDS, ROWS) * _fold).sum(axis=1, dtype=np.uint64)
+                        known[key] = np.concatenate([cells.view(np.int64), np.packbits((least[:BITS] >> np.uint32(7) & np.uint32(1)).astype(bool)).view(np.int64)])
                     bands.append(known[key])
                 ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
@@ -84,6 +90,13 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(made, schema)
 
 
+def alike(x, y, similarity: float):
+    """Column: whether two arrays of signature bits agree as often as sets of that similarity do."""
+    p = (1 + similarity) / 2
+    differ = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(BITS // 64)), F.lit(0))
+    return differ <= BITS - int(BITS * p - 5 * (BITS * p * (1 - p)) ** 0.5)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose whole sets reach the similarity."""
     percent = round(similarity * 100)
@@ -137,8 +150,9 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
 
     Documents link if the Jaccard similarity of their sets of different k-word shingles (A-Z as a-z; fewer words: all as one) reaches the bound.
     1. One read gives each set's size, name and band hashes. Equal sets become one class, led by its least id.
-    2. Leaders that share a band are candidates. First each is confirmed against the least leader of each of its bands only, which joins a large group of near copies through a
-       star; then, within bands whose members lie in different components still, the pairs across components are. A pair is left out only if its ends are connected already.
+    2. Leaders that share a band are candidates. First each is compared with three centres of each of its bands, the same for most bands of a group, which joins a large group of
+       near copies through stars; then, within bands whose members lie in different components still, the pairs across components are. A pair is left out only if its ends are
+       connected already, or their sizes or signature bits rule it out. All others are confirmed on their whole sets.
     3. Components of the confirmed links by large-star and small-star; members follow their leader.
 
     Cases: null or empty text or no words: no shingles, its own component. Repeated rows: equal sets. Null id: no component but with equal texts. Very long texts: whole.
@@ -149,15 +163,20 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     classes = rows.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members"))
     classes = scratch.keep(classes)
     leaders = rows.select("doc_id", "n_shingles", "bands").join(classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    cells = leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "h")).select("id", "n", F.xxhash64("band", "h").alias("cell"))
+    cells = leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "h")).select("id", "n", F.xxhash64("band", "h").alias("cell"))
     cells = scratch.keep(cells)
-    centres = cells.groupBy("cell").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    cells2 = scratch.keep(cells.join(centres.select("cell", "c"), "cell"))
+    choose = [F.min("id").alias("c0"), *(F.min_by("id", F.xxhash64("id", F.lit(r))).alias(f"c{r}") for r in range(1, CENTRES))]
+    centres = cells.groupBy("cell").agg(F.count("*").alias("m"), *choose).where("m > 1").drop("m")
+    shared = scratch.keep(cells.join(centres, "cell"))
     scratch.drop(cells)
-    cells = cells2
+    cells = shared
+    bits = scratch.keep(leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.slice("bands", BANDS + 1, BITS // 64).alias("bits")).join(cells.select("id").distinct(), "id", "left_semi"))
     sized = lambda a, b: (F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9)
-    pairs = cells.where((F.col("id") != F.col("c.id")) & sized(F.col("n"), F.col("c.n"))).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = scratch.keep(pairs)
+    stars = cells.select("id", F.explode(F.array_distinct(F.array(*[f"c{r}" for r in range(CENTRES)]))).alias("c")).where("id <> c")
+    stars = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    of = lambda s: bits.select(F.col("id").alias(s), F.col("n").alias("n" + s), F.col("bits").alias("bits" + s))
+    near = sized(F.col("na"), F.col("nb")) & alike(F.col("bitsa"), F.col("bitsb"), similarity)
+    pairs = scratch.keep(stars.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b"))
 
     wanted = scratch.keep(cells.select(F.col("id").alias("doc_id")).distinct())
     few = wanted.count() <= BROADCAST
@@ -166,12 +185,11 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     links = scratch.keep(confirmed(pairs, sets, similarity))
 
     roots = components(links, scratch)
-    placed = cells.select("cell", "id", "n").join(roots, "id", "left").select("cell", "id", "n", F.coalesce("root", "id").alias("root"))
-    placed = scratch.keep(placed)
+    placed = scratch.keep(cells.select("cell", "id").join(roots, "id", "left").select("cell", "id", F.coalesce("root", "id").alias("root")))
     split = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
-    placed = placed.join(split, "cell", "left_semi")
-    x, y = (placed.select("cell", *[F.col(c).alias(c + s) for c in ("id", "n", "root")]) for s in "xy")
-    across = x.join(y, "cell").where((F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & sized(F.col("nx"), F.col("ny"))).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+    placed = placed.join(split, "cell", "left_semi").join(bits, "id")
+    x, y = (placed.select("cell", *[F.col(c).alias(c + s) for c in ("n", "root", "bits")], F.col("id").alias(s)) for s in "ab")
+    across = x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near).select("a", "b").distinct()
     across = scratch.keep(across.join(pairs, ["a", "b"], "left_anti"))
     more = confirmed(across, sets, similarity)
     more = scratch.keep(more)
