@@ -1 +1,5 @@
-ORACLES = {}
+"""DuckDB SQL of every registered query that has one."""
+
+from chainloom.registry import ORACLES
+
+__all__ = ["ORACLES"]
