@@ -81,8 +81,8 @@ def ws_logs(c):
     return ws_new_heads(c).join(c.logs.where("address < 4"), "block_number").select("seq", "block_number", "log_index")
 
 
-@query("ws_monad_logs", "SELECT f.seq, f.commit_state, l.block_number, l.log_index FROM feed f JOIN logs l USING (block_number) WHERE commit_state <> 'Gap' AND address < 3")
-def ws_monad_logs(c):
+@query("ws_all_states_logs", "SELECT f.seq, f.commit_state, l.block_number, l.log_index FROM feed f JOIN logs l USING (block_number) WHERE commit_state <> 'Gap' AND address < 3")
+def ws_all_states_logs(c):
     return c.feed.where("commit_state <> 'Gap'").join(c.logs.where("address < 3"), "block_number").select("seq", "commit_state", "block_number", "log_index")
 
 
