@@ -187,9 +187,12 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     roots = components(links, scratch)
     placed = scratch.keep(cells.select("cell", "id").join(roots, "id", "left").select("cell", "id", F.coalesce("root", "id").alias("root")))
     split = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
-    placed = placed.join(split, "cell", "left_semi").join(bits, "id")
-    x, y = (placed.select("cell", *[F.col(c).alias(c + s) for c in ("n", "root", "bits")], F.col("id").alias(s)) for s in "ab")
-    across = x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near).select("a", "b").distinct()
+    # a pair across components shares split cells only, and is compared in the least of them, so that it's made once however many bands it shares
+    split = placed.join(split, "cell", "left_semi").groupBy("id", "root").agg(F.collect_set("cell").alias("cells"))  # BANDS at most
+    placed = split.join(bits, "id").select("*", F.explode("cells").alias("cell"))
+    x, y = (placed.select("cell", *[F.col(c).alias(c + s) for c in ("n", "root", "bits", "cells")], F.col("id").alias(s)) for s in "ab")
+    once = F.array_min(F.array_intersect("cellsa", "cellsb")) == F.col("cell")
+    across = x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near & once).select("a", "b")
     across = scratch.keep(across.join(pairs, ["a", "b"], "left_anti"))
     more = confirmed(across, sets, similarity)
     more = scratch.keep(more)
