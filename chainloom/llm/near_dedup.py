@@ -14,6 +14,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 48, 6
 #: Of each set's first 256 minima one bit is kept. Sets of similarity s agree in (1 + s) / 2 of them; five standard deviations less is held too few, which misses 1e-6 at most.
 BITS = 256
+#: A set's parities: bit i tells whether an odd number of its shingles fall into class i of so many. Those of two sets differ in no more places than the sets in shingles, so that
+#: no true pair is ruled out by them; they tell sets of up to some thousand shingles apart.
+PARITIES = 1024
 #: Members of a band that all others in it are compared with first.
 CENTRES = 3
 #: So many ids at most are broadcast (8 bytes each, counted first); more are joined by a shuffle.
@@ -46,7 +49,7 @@ def shingle_sets(column, k: int):
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (128 bits that name the set), bands (a hash of each band's minima, then four longs of one bit of each of 256 minima; empty for an empty set)."""
+    """doc_id, n_shingles, k1 and k2 (128 bits that name the set), bands (a hash of each band's minima, then four longs of one bit of each of 256 minima and sixteen of parities; empty for an empty set)."""
     from pyspark.sql.types import ArrayType
 
     schema = StructType([docs.schema["doc_id"]]).add("n_shingles", LongType()).add("k1", LongType()).add("k2", LongType()).add("bands", ArrayType(LongType()))
@@ -67,7 +70,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     if key not in known:
                         least = minima(s)
                         cells = (least.astype(np.uint64).reshape(BANDS, ROWS) * _fold).sum(axis=1, dtype=np.uint64)
-                        known[key] = np.concatenate([cells.view(np.int64), np.packbits((least[:BITS] >> np.uint32(7) & np.uint32(1)).astype(bool)).view(np.int64)])
+                        odd = np.bincount((s % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+                        known[key] = np.concatenate([cells.view(np.int64), np.packbits((least[:BITS] >> np.uint32(7) & np.uint32(1)).astype(bool)).view(np.int64), np.packbits(odd.astype(bool)).view(np.int64)])
                     bands.append(known[key])
                 ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
@@ -90,11 +94,13 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(made, schema)
 
 
-def alike(x, y, similarity: float):
-    """Column: whether two arrays of signature bits agree as often as sets of that similarity do."""
-    p = (1 + similarity) / 2
-    differ = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(BITS // 64)), F.lit(0))
-    return differ <= BITS - int(BITS * p - 5 * (BITS * p * (1 - p)) ** 0.5)
+def alike(x, y, nx, ny, similarity: float):
+    """Column: whether two arrays of signature bits agree as often as those of sets of that similarity do, and their parities, of sets of nx and ny shingles, allow it."""
+    p, percent = (1 + similarity) / 2, round(similarity * 100)
+    differ = lambda i, j: sum((F.bit_count(x[n].bitwiseXOR(y[n])) for n in range(i, j)), F.lit(0))
+    split, end = BITS // 64, (BITS + PARITIES) // 64
+    likely = differ(0, split) <= BITS - int(BITS * p - 5 * (BITS * p * (1 - p)) ** 0.5)
+    return likely & (differ(split, end) * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -152,7 +158,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     1. One read gives each set's size, name and band hashes. Equal sets become one class, led by its least id.
     2. Leaders that share a band are candidates. First each is compared with three centres of each of its bands, the same for most bands of a group, which joins a large group of
        near copies through stars; then, within bands whose members lie in different components still, the pairs across components are. A pair is left out only if its ends are
-       connected already, or their sizes or signature bits rule it out. All others are confirmed on their whole sets.
+       connected already, or their sizes, signature bits or parities rule it out. All others are confirmed on their whole sets.
     3. Components of the confirmed links by large-star and small-star; members follow their leader.
 
     Cases: null or empty text or no words: no shingles, its own component. Repeated rows: equal sets. Null id: no component but with equal texts. Very long texts: whole.
@@ -170,12 +176,12 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     shared = scratch.keep(cells.join(centres, "cell"))
     scratch.drop(cells)
     cells = shared
-    bits = scratch.keep(leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.slice("bands", BANDS + 1, BITS // 64).alias("bits")).join(cells.select("id").distinct(), "id", "left_semi"))
+    bits = scratch.keep(leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.slice("bands", BANDS + 1, (BITS + PARITIES) // 64).alias("bits")).join(cells.select("id").distinct(), "id", "left_semi"))
     sized = lambda a, b: (F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9)
     stars = cells.select("id", F.explode(F.array_distinct(F.array(*[f"c{r}" for r in range(CENTRES)]))).alias("c")).where("id <> c")
     stars = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
     of = lambda s: bits.select(F.col("id").alias(s), F.col("n").alias("n" + s), F.col("bits").alias("bits" + s))
-    near = sized(F.col("na"), F.col("nb")) & alike(F.col("bitsa"), F.col("bitsb"), similarity)
+    near = sized(F.col("na"), F.col("nb")) & alike(F.col("bitsa"), F.col("bitsb"), F.col("na"), F.col("nb"), similarity)
     pairs = scratch.keep(stars.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b"))
 
     wanted = scratch.keep(cells.select(F.col("id").alias("doc_id")).distinct())

@@ -313,6 +313,17 @@ def test_near_dedup_of_a_group_whose_least_document_is_an_outlier(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_parities_rule_no_true_pair_out(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words))] + [(n, " ".join(words[:-n] + [f"v{i}" for i in range(n)])) for n in range(1, 160, 3)]
+    signed = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 1).select("doc_id", "n_shingles", F.slice("bands", near_dedup.BANDS + 1, 20).alias("bits"))
+    x, y = (signed.select(*[F.col(c).alias(c + e) for c in signed.columns]) for e in "xy")
+    both = x.where("doc_idx = 0").crossJoin(y).select("doc_idy", near_dedup.alike(F.col("bitsx"), F.col("bitsy"), F.col("n_shinglesx"), F.col("n_shinglesy"), 0.8).alias("kept"))
+    kept = {r.doc_idy for r in both.collect() if r.kept}
+    assert kept >= {n for n in dict(rows) if 100 * (400 - n) >= 80 * (400 + n)}
+    assert max(kept) < 90  # a similarity of 0.63 and less is ruled out
+
+
 # --- 10 token counts
 
 def test_token_counts(docs, none):
