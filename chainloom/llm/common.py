@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage: a lost executor costs the tasks it ran, not the job."""
+    """Tables written to the shared folder. They cut lineage: a lost executor costs the tasks it ran, not the job. Once a table is written, the shuffles that led to it go."""
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
@@ -31,7 +33,12 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(self.CLEAN, "false")
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
