@@ -125,11 +125,18 @@ def bitmap_and(c):
     return both.groupBy("page").agg(F.sum("n").alias("n"))
 
 
+@query("bitmap_member_all", f", {_ids} SELECT id, topic0 = 'R' AS member FROM ids")
+def bitmap_member_all(c):
+    """Every log id tested against the bitmaps of one value."""
+    p = pages(_low(log_filters(c)).where("kind = 'Topic0' AND value = 'R'")).select("page", "half", F.col("bitmap").alias("b"))
+    ids = log_ids(c).selectExpr("id", f"id div {PAGE} AS page", f"(id % {PAGE}) div {HALF} AS half", f"id % {HALF} AS bit")
+    return _member(ids, p)
+
+
 @query("bitmap_member", f", {_ids} SELECT id, topic0 = 'R' AS member FROM ids WHERE id % 101 = 0")
 def bitmap_member(c):
-    p = pages(_low(log_filters(c))).where("kind = 'Topic0' AND value = 'R'").select("page", "half", F.col("bitmap").alias("b"))
-    ids = log_ids(c).where("id % 101 = 0").selectExpr("id", f"id div {PAGE} AS page", f"(id % {PAGE}) div {HALF} AS half", f"id % {HALF} AS bit")
-    return _member(ids, p)
+    """The ids of bitmap_member_all that its SQL asks for."""
+    return bitmap_member_all(c).where("id % 101 = 0")
 
 
 def _member(ids, p):

@@ -90,15 +90,36 @@ def source_cascade(c):
     return cascade("tx_id", *_tiers(c, "tx_id"))
 
 
+@query("tx_by_hash_cascade_all", f"SELECT tx_hash, sender, {_case} AS source FROM txs")
+def tx_by_hash_cascade_all(c):
+    return _txs_by_hash(c).drop("tx_id")
+
+
+def _txs_by_hash(c):
+    """Every transaction from the first tier that has its hash."""
+    return cascade("tx_hash", *_tiers(c, "tx_id", "tx_hash", "sender"))
+
+
 @query("tx_by_hash_cascade", f"SELECT tx_hash, sender, {_case} AS source FROM txs WHERE tx_id % 97 = 5")
 def tx_by_hash_cascade(c):
-    return cascade("tx_hash", *[s.where("tx_id % 97 = 5").drop("tx_id") for s in _tiers(c, "tx_id", "tx_hash", "sender")])
+    """The rows of tx_by_hash_cascade_all that its SQL asks for."""
+    return _txs_by_hash(c).where("tx_id % 97 = 5").drop("tx_id")
+
+
+@query("receipt_by_hash_cascade_all", f"SELECT tx_hash, gas_used, {_case} AS source FROM txs JOIN receipts USING (tx_id, block_number, tx_index)")
+def receipt_by_hash_cascade_all(c):
+    return _receipts_by_hash(c).drop("tx_id")
+
+
+def _receipts_by_hash(c):
+    """Every receipt by its transaction's hash, from the first tier that has it."""
+    return _txs_by_hash(c).join(c.receipts.select("tx_id", "gas_used"), "tx_id").select("tx_id", "tx_hash", "gas_used", "source")
 
 
 @query("receipt_by_hash_cascade", f"SELECT tx_hash, gas_used, {_case} AS source FROM txs JOIN receipts USING (tx_id, block_number, tx_index) WHERE tx_id % 97 = 5")
 def receipt_by_hash_cascade(c):
-    found = cascade("tx_id", *[s.where("tx_id % 97 = 5") for s in _tiers(c, "tx_id", "tx_hash")])
-    return found.join(c.receipts.select("tx_id", "gas_used"), "tx_id").select("tx_hash", "gas_used", "source")
+    """The rows of receipt_by_hash_cascade_all that its SQL asks for."""
+    return _receipts_by_hash(c).where("tx_id % 97 = 5").drop("tx_id")
 
 
 @query("block_cascade", f"SELECT DISTINCT block_number, {_case} AS source FROM txs")
