@@ -27,3 +27,15 @@ def test_bitmap_validate_sees_a_wrong_bit_of_any_filter(spark, monkeypatch, kind
 
     monkeypatch.setattr(index, "pages", wrong)
     assert {r.side: r.n for r in registry.QUERIES["bitmap_validate"](spark, SMALL).collect()} == {"missing": 1, "orphaned": 1}
+
+
+def test_contiguity_between_chunks(spark, monkeypatch):
+    """Gaps before blocks 1024 and 5000, the latter after chunks without a block, and an overlap within a chunk."""
+    rows, at = [], 0
+    for b in [*range(1020, 1030), *range(5000, 5003)]:
+        at += (b in (1024, 5000)) - (b == 1027)
+        rows.append((b, "tx", 3, at))
+        at += 3
+    rows += [(b, "log", 2, 2 * b) for b in range(1000, 3100)]
+    monkeypatch.setattr(index, "ranges", lambda c: spark.createDataFrame(rows, "block_number long, family string, n long, first long"))
+    assert {r.family: r.violations for r in registry.QUERIES["validate_contiguity"](spark, SMALL).collect()} == {"tx": 3, "log": 0}
