@@ -168,3 +168,14 @@ def asof_id_to_block(c):
     got = ids.withColumn("page", F.expr("id div 65536")).join(ranges, "page", "left").where("id >= first AND id < first + n").select("id", "block_number")
     beyond = ids.join(F.broadcast(last), ids["id"] >= last["lo"]).select("id", "block_number")  # one row
     return got.union(beyond).distinct()
+
+
+@query("asof_id_to_block_all", "SELECT id, block_number FROM (SELECT CAST(range AS BIGINT) AS id FROM range((SELECT count(*) FROM lineitem))) ASOF JOIN (SELECT block_number, CAST(sum(n) OVER (ORDER BY block_number) - n AS BIGINT) AS first FROM (SELECT block_number, count(*) AS n FROM logs GROUP BY 1)) ON id >= first")
+def asof_id_to_block_all(c):
+    """The block of every log id. Ranges and ids meet by page of 65536 ids, so that no window holds more than a page."""
+    from chainloom.operators.index import running_ranges
+
+    n = c.raw("lineitem").groupBy(F.expr("l_orderkey div 10").alias("block_number")).agg(F.count("*").alias("n"))
+    ranges = running_ranges(n).withColumn("page", F.explode(F.expr("sequence(first div 65536, (first + n - 1) div 65536)")))
+    ids = c.spark.range(c.raw("lineitem").count()).selectExpr("id", "id div 65536 AS page")
+    return as_of(ranges, "first", ids, "id", "page", ["block_number"]).select("id", "block_number")

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chainloom.operators.lookup import _case, block_cascade
 from chainloom.registry import query
 
 _before = lambda part, *order: Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -95,6 +96,16 @@ def block_receipts(c):
     return some.join(c.receipts.where("block_number BETWEEN 5 AND 20").drop("block_number", "tx_index"), "tx_id").select("block_number", "tx_index", "tx_hash", "gas_used", "cumulative")
 
 
+@query("block_receipts_all", f"SELECT block_number, tx_index, tx_hash, gas_used, cumulative, {_case} AS source FROM txs JOIN receipts USING (tx_id, block_number, tx_index)")
+def block_receipts_all(c):
+    """The receipts of every block, by position, from the first source that has the block. A block whose transactions and receipts differ in number is an error, as in the reference."""
+    at = ["block_number", "tx_index"]
+    t, r = c.txs.select(*at, "tx_hash"), c.receipts.select(*at, "gas_used", "cumulative")
+    both = t.join(r, at, "full").join(block_cascade(c), "block_number", "left")
+    gas = F.when(F.col("tx_hash").isNull() | F.col("gas_used").isNull(), F.raise_error(F.lit("number of receipts and txs mismatch"))).otherwise(F.col("gas_used"))
+    return both.select(*at, "tx_hash", gas.alias("gas_used"), "cumulative", "source")
+
+
 @query("block_bundle", "SELECT t.block_number, t.tx_index, t.tx_hash, r.gas_used, count(f.pos) AS frames FROM txs t JOIN receipts r USING (tx_id) LEFT JOIN traces f USING (tx_id) GROUP BY ALL")
 def block_bundle(c):
     frames = c.raw("lineitem").groupBy(F.col("l_orderkey").alias("tx_id")).agg(F.count("*").alias("frames"))

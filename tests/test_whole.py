@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainloom import registry
-from chainloom.operators import index
+from chainloom.operators import index, views
+from chainloom.sources.chain import Chain
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,3 +40,21 @@ def test_contiguity_between_chunks(spark, monkeypatch):
     rows += [(b, "log", 2, 2 * b) for b in range(1000, 3100)]
     monkeypatch.setattr(index, "ranges", lambda c: spark.createDataFrame(rows, "block_number long, family string, n long, first long"))
     assert {r.family: r.violations for r in registry.QUERIES["validate_contiguity"](spark, SMALL).collect()} == {"tx": 3, "log": 0}
+
+
+@pytest.mark.parametrize("name, table", [("block_receipts_all", "orders"), ("asof_id_to_block_all", "lineitem")])
+def test_all_blocks_and_ids(spark, name, table):
+    assert registry.QUERIES[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
+
+
+def test_receipts_that_do_not_match_the_transactions(spark):
+    class Short(Chain):
+        receipts = Chain(spark, SMALL).receipts.where("tx_id <> 777")
+
+    with pytest.raises(Exception, match="number of receipts and txs mismatch"):
+        views.block_receipts_all(Short(spark, SMALL)).collect()
+
+
+def test_all_subscribers_and_addresses(spark):
+    assert registry.QUERIES["subscription_fanout_all"](spark, SMALL).where("subscriber > 100").count() > 0
+    assert registry.QUERIES["txpool_by_address_all"](spark, "/root/testdata/sf0.01").where("address >= 20").count() > 0
