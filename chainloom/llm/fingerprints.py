@@ -23,7 +23,8 @@ CHAIN = 3
 
 
 def signatures(text: str) -> list[int]:
-    """The sorted 32-bit hashes of a text's chains. Words are lower-cased and bare of surrounding punctuation. A text with no whole chain gives the chain of all its words."""
+    """The sorted 32-bit hashes of a text's chains. Words are lower-cased and bare of surrounding punctuation. A text with no whole chain gives every run of CHAIN content words, or
+    of all its words if it has fewer content words, so that an edit changes a few hashes only; one with fewer words than that gives them all as one."""
     import xxhash
 
     content, spots = [], []
@@ -37,7 +38,8 @@ def signatures(text: str) -> list[int]:
     h, n = xxhash.xxh32_intdigest, len(content)
     found = {h(f"{w} {' '.join(content[i : i + CHAIN])}") for w, i in spots if i + CHAIN <= n}
     if not found and (words := text.lower().split()):
-        found = {h(" ".join(words))}
+        runs = content if n >= CHAIN else words
+        found = {h(" ".join(runs[i : i + CHAIN])) for i in range(max(len(runs) - CHAIN, 0) + 1)}
     return sorted(found)
 
 

@@ -200,6 +200,14 @@ def test_edited_likeness(docs, none):
     assert [r.near_next for r in fingerprints.edited_likeness(docs.where("doc_id = 5")).collect()] == [1.0]
 
 
+@pytest.mark.parametrize("words", [[f"zelle{i}" for i in range(60)], ["|", *[f"{i}|x{i}" for i in range(60)]], ["of", "that", "with"] + ["and", "on", "by", "from", "at"] * 2 + ["she"]])
+def test_an_edit_of_a_text_without_chains(words):
+    edited = [*words[:5], "changed", *words[6:]]
+    a, b = fingerprints.signatures(" ".join(words)), fingerprints.signatures(" ".join(edited))
+    assert 0.4 < fingerprints.likeness(a, b) < 1
+    assert fingerprints.signatures("") == [] and len(fingerprints.signatures("uno")) == len(fingerprints.signatures("of it")) == 1
+
+
 def test_similar_fingerprints(docs):
     prints = fingerprints.fingerprints(docs)
     classes, links = fingerprints.similar(prints, 0.6)
