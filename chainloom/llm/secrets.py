@@ -31,7 +31,7 @@ MORE = {
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, r"xox[abprs]-[A-Za-z0-9-]"),
     "google": (r"AIza[A-Za-z0-9_-]{35}", 0, 0, r"AIza[A-Za-z0-9_-]{4}"),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, r"eyJ[A-Za-z0-9_-]+\.eyJ"),
-    "url_login": (rf"[a-z]{{3,10}}://[A-Za-z0-9_.-]{{1,40}}:{_login}{{3,60}}@", 0, 0, rf"[a-z]://[A-Za-z0-9_.-]+:{_login}+@"),
+    "url_login": (rf"(?<![a-z])[a-z]{{3,}}+://[A-Za-z0-9_.-]*:{_login}{{3,}}@", 0, 0, rf"[a-z]://[A-Za-z0-9_.-]*:{_login}+@"),
 }
 RULES = BASE | MORE
 

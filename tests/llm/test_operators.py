@@ -264,6 +264,14 @@ def test_secret_scan(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_logins_of_any_length(spark):
+    urls = ["redis://:secret1@h", f"https://{'u' * 41}:pass1@h", f"https://me:{'p' * 61}@h", f"{'a' * 30}://me:pass1@h"]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame([(i, f"see {u} é") for i, u in enumerate([*urls, "http://h:80/a@b", "x://me:pass1@h"])], "doc_id long, text string")).collect()}
+    for i, u in enumerate(urls):
+        assert f"url_login:4:{4 + len(u) - 1}" in got[i].split(",")
+    assert not any("url_login" in (got[i] or "") for i in (4, 5))
+
+
 def test_redact(spark):
     got = secrets.redact(spark.createDataFrame([(1, "é token = abcdef12 z"), (2, None), (3, "plain")], "doc_id long, text string")).collect()
     assert [r.text for r in got] == ["é [secret] z", None, "plain"]
