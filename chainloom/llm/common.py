@@ -65,22 +65,20 @@ _space[[ord(c) for c in SPACES]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _value = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)[_lower]
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = {"n": 0}
+_BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes handled at a time; whole documents only, so one longer document makes one longer block.
-BLOCK = 2 << 20
+BLOCK = 256 << 10
+#: Bytes for which sums are held at once, however long a document is.
+TILE = 64 << 10
 
 
-def _tables(n: int):
-    """Powers of an odd base and of its inverse modulo 2**64, as far as the longest block so far."""
-    if _powers["n"] < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, b in (("up", _BASE), ("down", inverse)):
-            p = np.full(n + 1, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
+def _powers(base: int) -> np.ndarray:
+    out = np.full(TILE, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_up, _down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -105,23 +103,55 @@ def blocks(column):
         i = j
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray):
-    """(hash, start, end of every word, index of each row's first word) of a block; A-Z count as a-z."""
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    up, down = _tables(len(data))
-    word = ~_space[data]
-    edge = np.empty(len(data) + 1, bool)  # edge[i]: a row begins at i
-    edge[:] = False
-    edge[offsets] = True
-    begins, ends = word.copy(), word.copy()
-    begins[1:] &= ~word[:-1] | edge[1:-1]
-    ends[:-1] &= ~word[1:] | edge[1:-1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_value[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), start, end, np.searchsorted(start, offsets)
+def hash_words(data: np.ndarray, offsets: np.ndarray, bag: np.ndarray | None = None):
+    """(hash, start, end of every word, index of each row's first word) of a block; A-Z count as a-z. With `bag`, a number for each byte, also each word's sum of those of its
+    runs of bytes with equal numbers. Sums are held for a tile at a time; a word that goes on in the next tile carries its sums over."""
+    sums, bags, starts, ends = [], [], [], []
+    goes_on, last = False, 0
+    for t in range(0, len(data), TILE):
+        d = data[t : t + TILE]
+        word = ~_space[d]
+        cut = offsets[np.searchsorted(offsets, t) : np.searchsorted(offsets, t + len(d))] - t
+        edge = np.zeros(len(d) + 1, bool)  # edge[i]: a row begins at i
+        edge[cut] = True
+        begins, stops = word.copy(), word.copy()
+        begins[1:] &= ~word[:-1] | edge[1:-1]
+        stops[:-1] &= ~word[1:] | edge[1:-1]
+        start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        total = np.zeros(len(d) + 1, np.uint64)
+        np.cumsum(_value[d] * _up[: len(d)], out=total[1:])
+        h = (total[end] - total[start]) * _down[start]
+        goes_on = goes_on and len(start) > 0 and start[0] == 0 and not edge[0]
+        if bag is not None:
+            kind = bag[d]
+            new = np.ones(len(d), bool)
+            new[1:] = kind[1:] != kind[:-1]
+            new[start] = True
+            if goes_on:
+                new[0] = kind[0] != last
+            last = kind[-1]
+            runs = np.zeros(len(d) + 1, np.uint64)
+            np.cumsum(np.where(new, kind, np.uint64(0)), out=runs[1:])
+            b = runs[end] - runs[start]
+        if goes_on:
+            before = int(ends[-1][-1] - starts[-1][-1])
+            sums[-1][-1:] += h[:1] * np.uint64(pow(_BASE, before, 1 << 64))
+            ends[-1][-1] += end[0]
+            if bag is not None:
+                bags[-1][-1:] += b[:1]
+                b = b[1:]
+            h, start, end = h[1:], start[1:], end[1:]
+        goes_on = bool(word[-1])
+        if len(start):
+            sums.append(h)
+            starts.append(start + t)
+            ends.append(end + t)
+            if bag is not None:
+                bags.append(b)
+    none = np.zeros(0, np.int64)
+    start, end = np.concatenate([none, *starts]), np.concatenate([none, *ends])
+    out = mix(np.concatenate([none.view(np.uint64), *sums])), start, end, np.searchsorted(start, offsets)
+    return out if bag is None else (*out, mix(np.concatenate([none.view(np.uint64), *bags])))
 
 
 def hash_shingles(words: np.ndarray, first: np.ndarray, k: int):

@@ -18,21 +18,14 @@ _class[:128] = np.arange(128)
 _class[ord("a") : ord("z") + 1] = ord("l")
 _class[ord("A") : ord("Z") + 1] = ord("u")
 _class[ord("0") : ord("9") + 1] = ord("d")
-_shape = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+_shape = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)[_class]
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
     """(feature, row) of a block's word n-grams: each word and pair of words, each word's shape (its runs of lower, upper, digit and every sign) and pair of shapes. A pair of
     equal words is one n-gram whatever the word."""
-    words, start, end, first = hash_words(data, offsets)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    kind = _class[data]
-    runs = np.zeros(len(data) + 1, np.uint64)
-    new = np.ones(len(data), bool)
-    new[1:] = kind[1:] != kind[:-1]
-    new[start] = True
-    np.cumsum(np.where(new, _shape[kind], np.uint64(0)), out=runs[1:])
-    shapes = mix(runs[end] - runs[start])
+    words, _, _, first, shapes = hash_words(data, offsets, _shape)
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))
     pair = row[1:] == row[:-1]
     a, b = words[:-1][pair], words[1:][pair]
     pairs = np.where(a == b, np.uint64(99), mix(a * np.uint64(3) + b))
@@ -65,8 +58,11 @@ SCALE = 30.0
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and bias learnt from at most `sample` labelled documents.
 
-    The texts are hashed where they lie; one task trains on the sample's hashed n-grams, and only the weights (2**18 of them) come to the driver. Label rows without id or
-    label, or whose document is missing, teach nothing; without any, all scores are 0.5."""
+    The texts are hashed where they lie, each task sending its share of the sample's hashed n-grams to one task that trains on them in an order by hash; only the weights (2**18
+    of them) come to the driver.
+
+    Cases: label rows without id or label, or whose document is missing, teach nothing; without any, all scores are 0.5. Null or empty texts teach the bias. Repeated rows, and
+    several labels or texts of an id, teach once each. Ties in the order are broken by label and n-grams. Texts of any length are hashed whole. Other columns are ignored."""
     chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
     chosen = chosen.withColumn("_o", F.xxhash64("_id", F.lit(5))).orderBy("_o", "_id", "_y").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")  # `sample` rows at most
@@ -95,32 +91,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         w, b = train(examples)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
 
-    model = rows.mapInArrow(hashed, "o long, y int, f binary, c binary").coalesce(1).mapInArrow(learn, "w binary, b double").collect()
+    model = rows.mapInArrow(hashed, "o long, y int, f binary, c binary").repartition(1).mapInArrow(learn, "w binary, b double").collect()
     return (np.frombuffer(model[0]["w"], "<f8"), model[0]["b"]) if model else (np.zeros(1 << BITS), 0.0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
-    """`docs` with all their columns and _score (0 to 1): the sparse dot product of a text's n-gram shares with the weights, through the logistic function.
-
-    Cases: an older column _score is replaced. Null or empty text: the bias alone. Texts of any length are scored whole. Empty table: no rows."""
-    from pyspark.sql.types import DoubleType, StructType
+    """`docs` with all their columns and _score (0 to 1): the sparse dot product of a text's n-gram shares with the weights, through the logistic function. Only texts go to
+    Python, and only scores come back.
 
+    Cases: an older column _score is replaced. Null or empty text: the bias alone. Texts of any length are scored whole. Repeated rows: scored alike. Empty table: no rows."""
     docs = docs.drop("_score")
     weights = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # 2**18 floats, whatever the input
 
-    def scored(batches):
+    def scored(columns):
         import pyarrow as pa
 
         w, b = weights.value
-        for batch in batches:
-            out = np.empty(batch.num_rows)
-            for i, n, data, offsets in blocks(batch.column(text)):
+        for column in columns:
+            out = np.empty(len(column))
+            for i, n, data, offsets in blocks(column):
                 f, row = features(data, offsets)
-                count = np.bincount(row, minlength=n)
-                out[i : i + n] = SCALE * np.bincount(row, w[f], minlength=n) / np.maximum(count, 1) + b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=[*batch.schema.names, "_score"])
+                out[i : i + n] = SCALE * np.bincount(row, w[f], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1) + b
+            yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields]).add("_score", DoubleType()))
+    return docs.withColumn("_score", F.arrow_udf(scored, "double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string")))
 
 
 def held_out(doc_id):

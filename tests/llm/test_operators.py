@@ -369,3 +369,48 @@ def test_caches_stay_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 3)
     cache = tokens.Words(len)
     assert [cache["x" * i] for i in range(10)] == list(range(10)) and len(cache) <= 3
+
+
+def test_words_across_tiles(monkeypatch):
+    """Sums carried from tile to tile: hashes and shapes are those of one tile, whatever its size."""
+    import pyarrow as pa
+
+    texts = [r[1] for r in corpus()] + ["aB1" * 50, "x" * 300, "", "a", "b " * 40]
+    one = [quality.features(data, offsets) + common.hash_words(data, offsets) for _, _, data, offsets in common.blocks(pa.array(texts))]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(common, "TILE", size)
+        got = [quality.features(data, offsets) + common.hash_words(data, offsets) for _, _, data, offsets in common.blocks(pa.array(texts))]
+        assert all(np.array_equal(x, y) for a, b in zip(one, got, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def plain_ftrl(examples, bits, epochs, alpha, beta, l1, l2):
+    """The published per-coordinate updates, one coordinate at a time."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        penalty = (0.0, 0.0) if i == "bias" else (l1, l2)
+        if abs(z[i]) <= penalty[0]:
+            return 0.0
+        return -(z[i] - (penalty[0] if z[i] > 0 else -penalty[0])) / ((beta + n[i] ** 0.5) / alpha + penalty[1])
+
+    for _ in range(epochs):
+        for f, x, y in examples:
+            pairs = [*zip(f, x), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                g = (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(1 << bits)], weight("bias")
+
+
+def test_training_equals_a_plain_loop():
+    rng = np.random.default_rng(5)
+    examples = []
+    for _ in range(60):
+        f = np.unique(rng.integers(0, 64, 9)).astype(np.int32)
+        examples.append((f, rng.random(len(f)) * 3, int(f.sum() % 2)))
+    w, b = quality.train(examples, bits=6, epochs=2)
+    want, bias = plain_ftrl(examples, 6, 2, 0.5, 1.0, 1e-3, 1e-3)
+    assert np.allclose(w, want) and abs(b - bias) < 1e-9 and np.count_nonzero(w) > 20
