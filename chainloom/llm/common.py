@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six bytes.
@@ -15,13 +15,25 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir. Only where that is unset (tests on one machine) a local one is made."""
+    """The folder all executors and the driver share: spark.checkpoint.dir."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chainloom-"))
+        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+#: Rows of an Arrow batch that goes to Python: whole texts, so the batch's bytes follow their length.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets fewer rows than Spark's 10,000 go to Python at once, unless the session says otherwise: a batch of whole texts is held on both sides."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage: a lost executor costs the tasks it ran, not the job. Once a table is written, the shuffles that led to it go."""
 
@@ -50,6 +62,67 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a membership filter: 512 KB, whatever the input.
+FILTER = 1 << 22
+
+
+def membership(hashes: DataFrame, scratch: Scratch) -> DataFrame:
+    """What `is_in` takes: a table of FILTER bits, one row, in which the bit of every hash (the one column, long) is set. It rules rows out before a shuffle; a hash that isn't
+    there may seem to be."""
+    h = F.col(hashes.columns[0])
+    place = F.shiftright(h.bitwiseAND(F.lit(FILTER - 1)), 6)
+    bits = hashes.select(place.alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("v"))
+    every = hashes.sparkSession.range(FILTER // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("v"))
+    words = bits.groupBy("k").agg(F.bit_or("v").alias("v")).union(every).groupBy("k").agg(F.bit_or("v").alias("v"))
+    return scratch.keep(words.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("bits")))  # FILTER / 64 longs
+
+
+def is_in(h: Column, bits: DataFrame) -> Column:
+    """Whether a hash may be among those of `membership`; false if it surely isn't."""
+    word = F.get(bits.scalar(), F.shiftright(h.bitwiseAND(F.lit(FILTER - 1)), 6).cast("int"))
+    return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+SALTS = 64
+#: A key is hot if more than one in so many rows has it; there are fewer hot keys than that.
+HOT = 1000
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, counts: DataFrame, total: int | Column, how: str = "inner") -> DataFrame:
+    """`rows` joined with the one row that `table` has for their keys. counts: keys and n, the rows of each key; total: the number of rows. Rows of a hot key are dealt over SALTS
+    tasks by `spread`, and its one row is repeated for each; the hot keys themselves, fewer than HOT, are broadcast."""
+    names = [f"_hot{i}" for i in range(len(keys))]
+    hot = F.broadcast(counts.where(F.col("n") * HOT > total).select(*[F.col(k).alias(x) for k, x in zip(keys, names)]))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(hot, reduce(Column.__and__, [df[k] == hot[x] for k, x in zip(keys, names)]), "left")
+
+    is_hot = F.col(names[0]).isNotNull()
+    left = marked(rows).withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop(*names)
+    right = marked(table).withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(*names)
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_row_key(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """`docs` with one more column, and its name: a key of each row in order of id, null last. It is the id where each names one row, else the row's place among all."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    ids = docs.groupBy(doc_id).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.count_if(F.col(doc_id).isNull()).alias("nulls")).first()
+    if ids["n"] <= 1 and not ids["nulls"]:
+        return docs.withColumn(key, F.col(doc_id)), key
+    placed = docs.orderBy(F.col(doc_id).asc_nulls_last(), F.xxhash64(*docs.columns)).withColumn(key, F.monotonically_increasing_id())
+    return Scratch(docs.sparkSession).keep(placed), key
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """`docs` less the rows whose key, never null, is in the one column of `gone`. Only rows that may be among them are shuffled."""
+    gone = gone.select(F.col(gone.columns[0]).alias("_gone"))
+    there = is_in(F.xxhash64(key), membership(gone.select(F.xxhash64("_gone").alias("h")), Scratch(docs.sparkSession)))
+    some = docs.where(there)
+    return docs.where(~there).union(some.join(gone, some[key] == gone["_gone"], "left_anti"))
+
+
 def without_spaces(text):
     """Column: the text (null: empty) without the six white-space bytes; chained replacements stay in generated code."""
     out = F.coalesce(text, F.lit(""))
@@ -93,8 +166,10 @@ def blocks(column):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from chainloom.llm.common import Scratch, blocks, hash_shingles, hash_words
+from chainloom.llm.common import Scratch, blocks, hash_shingles, hash_words, is_in, membership, salted_join, small_batches, with_row_key, without_rows
 
 SIMILARITY = 0.8
 #: Two sets of similarity s share no band with probability (1 - s**ROWS)**BANDS: 5e-7 at 0.8, 1e-9 at 0.85.
@@ -19,8 +21,6 @@ BITS = 256
 PARITIES = 1024
 #: Members of a band that all others in it are compared with first.
 CENTRES = 3
-#: So many ids at most are broadcast (8 bytes each, counted first); more are joined by a shuffle.
-BROADCAST = 1_000_000
 
 _rng = np.random.default_rng(23)
 _a = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -48,10 +48,15 @@ def shingle_sets(column, k: int):
         yield i, [np.unique(h[ends[r] : ends[r + 1]]) for r in range(n)]
 
 
+def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each set, in two longs."""
+    k1 = [int(s.sum(dtype=np.uint64)) for s in sets]
+    k2 = [int((s * (s >> np.uint64(17) | np.uint64(1))).sum(dtype=np.uint64)) for s in sets]
+    return np.array(k1, np.uint64).view(np.int64), np.array(k2, np.uint64).view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, k1 and k2 (128 bits that name the set), bands (a hash of each band's minima, then four longs of one bit of each of 256 minima and sixteen of parities; empty for an empty set)."""
-    from pyspark.sql.types import ArrayType
-
     schema = StructType([docs.schema["doc_id"]]).add("n_shingles", LongType()).add("k1", LongType()).add("k2", LongType()).add("bands", ArrayType(LongType()))
 
     def made(batches):
@@ -59,9 +64,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             for i, sets in shingle_sets(batch.column(1), k):
-                n = [len(s) for s in sets]
-                k1 = [int(s.sum(dtype=np.uint64)) for s in sets]
-                k2 = [int((s * (s >> np.uint64(17) | np.uint64(1))).sum(dtype=np.uint64)) for s in sets]
+                k1, k2 = _names(sets)
                 bands, known = [], {}
                 for s, key in zip(sets, zip(k1, k2)):
                     if not len(s):
@@ -74,22 +77,21 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         known[key] = np.concatenate([cells.view(np.int64), np.packbits((least[:BITS] >> np.uint32(7) & np.uint32(1)).astype(bool)).view(np.int64), np.packbits(odd.astype(bool)).view(np.int64)])
                     bands.append(known[key])
                 ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
-                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array(n, pa.int64()), signed(k1), signed(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))], names=schema.names)
 
     return docs.mapInArrow(made, schema)
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, s: the sorted shingles as bytes."""
-    schema = StructType([docs.schema["doc_id"]]).add("s", BinaryType())
+    """doc_id, k1, k2, s: the sorted shingles as bytes."""
+    schema = StructType([docs.schema["doc_id"]]).add("k1", LongType()).add("k2", LongType()).add("s", BinaryType())
 
     def made(batches):
         import pyarrow as pa
 
         for batch in batches:
             for i, sets in shingle_sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), *map(pa.array, _names(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
 
     return docs.mapInArrow(made, schema)
 
@@ -104,9 +106,11 @@ def alike(x, y, nx, ny, similarity: float):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets reach the similarity."""
-    percent = round(similarity * 100)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    """Of pairs (a, b), a table that is read more than once, those whose whole sets (id, s) reach the similarity. The pairs of a centre that has many are dealt over many tasks."""
+    percent, total = round(similarity * 100), pairs.agg(F.count("*")).scalar()
+    of = lambda e: sets.select(F.col("id").alias(e), F.col("s").alias("s" + e))
+    one = salted_join(pairs, of("a"), ["a"], "b", pairs.groupBy("a").agg(F.count("*").alias("n")), total)
+    both = salted_join(one, of("b"), ["b"], "a", pairs.groupBy("b").agg(F.count("*").alias("n")), total).select("a", "b", "sa", "sb")
 
     def checked(batches):
         import pyarrow as pa
@@ -134,13 +138,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     stamp = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = stamp(edges)
+
+    def with_least(rows: DataFrame, total: int) -> DataFrame:
+        least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return salted_join(rows, least.select("u", "m"), ["u"], "v", least.select("u", "n"), total)
+
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # each larger neighbour points to the least
-        large = scratch.keep(large.where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        # each larger neighbour points to the least, the node itself included
+        large = with_least(both, 2 * last[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = scratch.keep(large.distinct())
+        small = with_least(large, last[0])  # large has no more rows than edges
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = scratch.keep(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         scratch.drop(edges, large)
         edges, now = new, stamp(new)
@@ -161,22 +170,27 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
        connected already, or their sizes, signature bits or parities rule it out. All others are confirmed on their whole sets.
     3. Components of the confirmed links by large-star and small-star; members follow their leader.
 
-    Cases: null or empty text or no words: no shingles, its own component. Repeated rows: equal sets. Null id: no component but with equal texts. Very long texts: whole.
-    Empty table: no rows. Other columns are ignored."""
+    Classes have numbers of their own, so that rows with one id but different texts stay apart, and rows without id link like any other.
+
+    Cases: null or empty text or no words: no shingles, its own component. Repeated rows, equal sets: one class. Null id: never a component's name unless no member has an id.
+    Very long texts: whole. Empty table: no rows. Other columns are ignored."""
     spark = docs.sparkSession
+    small_batches(spark)
+    name = ["n_shingles", "k1", "k2"]
     scratch, texts = Scratch(spark), docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     rows = scratch.keep(signatures(texts, k))
-    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members"))
-    classes = scratch.keep(classes)
-    leaders = rows.select("doc_id", "n_shingles", "bands").join(classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    cells = leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "h")).select("id", "n", F.xxhash64("band", "h").alias("cell"))
-    cells = scratch.keep(cells)
+    classes = rows.where("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("leader"), F.count("*").alias("members"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()))
+    led = lambda df, *keys: df.join(classes.select(*[F.col(x).alias("_" + x) for x in keys], "leader", "id"), reduce(Column.__and__, [F.col(x) == F.col("_" + x) for x in keys]) & F.col("doc_id").eqNullSafe(F.col("leader")))
+    leaders = led(rows, *name).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "bands")
+    leaders = scratch.keep(leaders)
+    cells = leaders.select("id", "n", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "h")).select("id", "n", F.xxhash64("band", "h").alias("cell"))
     choose = [F.min("id").alias("c0"), *(F.min_by("id", F.xxhash64("id", F.lit(r))).alias(f"c{r}") for r in range(1, CENTRES))]
     centres = cells.groupBy("cell").agg(F.count("*").alias("m"), *choose).where("m > 1").drop("m")
-    shared = scratch.keep(cells.join(centres, "cell"))
-    scratch.drop(cells)
-    cells = shared
-    bits = scratch.keep(leaders.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.slice("bands", BANDS + 1, (BITS + PARITIES) // 64).alias("bits")).join(cells.select("id").distinct(), "id", "left_semi"))
+    cells = scratch.keep(cells.join(centres, "cell"))
+    wanted = scratch.keep(cells.select("id").distinct())
+    bits = scratch.keep(leaders.select("id", "n", F.slice("bands", BANDS + 1, (BITS + PARITIES) // 64).alias("bits")).join(wanted, "id", "left_semi"))
+    scratch.drop(leaders)
     sized = lambda a, b: (F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9)
     stars = cells.select("id", F.explode(F.array_distinct(F.array(*[f"c{r}" for r in range(CENTRES)]))).alias("c")).where("id <> c")
     stars = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
@@ -184,13 +198,13 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     near = sized(F.col("na"), F.col("nb")) & alike(F.col("bitsa"), F.col("bitsb"), F.col("na"), F.col("nb"), similarity)
     pairs = scratch.keep(stars.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b"))
 
-    wanted = scratch.keep(cells.select(F.col("id").alias("doc_id")).distinct())
-    few = wanted.count() <= BROADCAST
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = scratch.keep(whole_sets(chosen, k).dropDuplicates(["doc_id"]))
+    # texts of leaders that share a band: a filter lets few others by, and the join lets none
+    there = membership(classes.join(wanted, "id", "left_semi").select(F.xxhash64("leader").alias("h")), scratch)
+    sets = led(whole_sets(texts.where(is_in(F.xxhash64("doc_id"), there)), k), "k1", "k2").join(wanted, "id", "left_semi")
+    sets = scratch.keep(sets.select("id", "s").dropDuplicates(["id"]))
     links = scratch.keep(confirmed(pairs, sets, similarity))
 
-    roots = components(links, scratch)
+    roots = scratch.keep(components(links, scratch))
     placed = scratch.keep(cells.select("cell", "id").join(roots, "id", "left").select("cell", "id", F.coalesce("root", "id").alias("root")))
     split = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
     # a pair across components shares split cells only, and is compared in the least of them, so that it's made once however many bands it shares
@@ -200,17 +214,24 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     once = F.array_min(F.array_intersect("cellsa", "cellsb")) == F.col("cell")
     across = x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & near & once).select("a", "b")
     across = scratch.keep(across.join(pairs, ["a", "b"], "left_anti"))
-    more = confirmed(across, sets, similarity)
-    more = scratch.keep(more)
+    more = scratch.keep(confirmed(across, sets, similarity))
+    scratch.drop(cells, wanted, bits, sets, pairs, across)
     roots = scratch.keep(components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more), scratch))
 
-    whole = classes.join(roots, classes["leader"] == roots["id"], "left").select("n_shingles", "k1", "k2", F.coalesce("root", "leader").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["n_shingles", "k1", "k2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    whole = scratch.keep(classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    labels = whole.groupBy("root").agg(F.min("leader").alias("component"), F.count("*").alias("n"))
+    n_rows = rows.agg(F.count("*")).scalar()
+    whole = salted_join(whole, labels.select("root", "component"), ["root"], "id", labels.select("root", "n"), whole.agg(F.count("*")).scalar()).select(*name, "component")
+    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    some = salted_join(rows.where("n_shingles > 0").select("doc_id", *name, F.monotonically_increasing_id().alias("_spread")), whole, name, "_spread", classes.select(*name, F.col("members").alias("n")), n_rows)
+    out = none.union(some.select("doc_id", "n_shingles", "component"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs`, one document of each component left, with all their columns."""
-    gone = near_components(docs, k, similarity, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs[doc_id] == gone["_id"], "left_anti")
+    """`docs`, one document of each component left (that of the least id; of rows that ids don't tell apart, the first by hash), with all their columns.
+
+    Cases: as in near_components; rows alike in all, or without id, leave one."""
+    keyed, key = with_row_key(docs, doc_id)
+    gone = near_components(keyed, k, similarity, key, text).where("NOT kept").select("doc_id")
+    return without_rows(keyed, gone, key).drop(key)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructType
 
+from chainloom.llm.common import small_batches
 from chainloom.llm.tokens import text_blocks, word_ids
 
 LENGTH = 4096
@@ -54,6 +55,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
     Cases: null or empty text: the end id alone. Repeated rows and null ids: packed like any other. A text longer than a window is packed whole in one. Empty table: no rows.
     Other columns are ignored."""
+    small_batches(docs.sparkSession)
     schema = StructType([docs.select(docs[doc_id].alias("doc_id")).schema[0]])
     for name in ("start", "length", "doc_tokens", "sequence_id", "offset"):
         schema = schema.add(name, LongType())

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import blocks, hash_words, mix
+from chainloom.llm.common import blocks, hash_words, mix, small_batches
 
 #: At most so many labelled rows are trained on, chosen by a hash of their id: a bound on the one task that trains.
 SAMPLE = 20_000
@@ -35,11 +38,12 @@ def features(data: np.ndarray, offsets: np.ndarray):
 
 
 def train(examples, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias from [(features, shares, label)], one FTRL-proximal update per example. The bias is a coordinate without penalty."""
+    """Weights and bias from [(features, shares, label)], or a function that gives them anew for each epoch, one FTRL-proximal update per example. The bias is a coordinate without
+    penalty."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = 1 << bits
     for _ in range(epochs):
-        for f, x, y in examples:
+        for f, x, y in examples() if callable(examples) else examples:
             f, x = np.append(f, bias), np.append(x, 1.0)
             zi, ni = z[f], n[f]
             w = np.where(np.abs(zi) > l1, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
@@ -63,13 +67,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     Cases: label rows without id or label, or whose document is missing, teach nothing; without any, all scores are 0.5. Null or empty texts teach the bias. Repeated rows, and
     several labels or texts of an id, teach once each. Ties in the order are broken by label and n-grams. Texts of any length are hashed whole. Other columns are ignored."""
+    small_batches(docs.sparkSession)
     chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
     chosen = chosen.withColumn("_o", F.xxhash64("_id", F.lit(5))).orderBy("_o", "_id", "_y").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")  # `sample` rows at most
 
-    def hashed(batches):
-        import pyarrow as pa
+    small = lambda n: n.astype("u1" if not len(n) or n.max() < 256 else "<i4")
 
+    def hashed(batches):
         for batch in batches:
             ids, y, o = (batch.column(k) for k in ("_o", "_y", "_o"))
             for i, n, data, offsets in blocks(batch.column("_t")):
@@ -77,17 +82,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 order = np.argsort(row, kind="stable")
                 f, ends = f[order], np.searchsorted(row[order], np.arange(n + 1))
                 got = [np.unique(f[ends[r] : ends[r + 1]], return_counts=True) for r in range(n)]
-                yield pa.RecordBatch.from_arrays([o.slice(i, n), y.slice(i, n), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("<i4").tobytes() for g in got], pa.binary())], names=["o", "y", "f", "c"])
+                yield pa.RecordBatch.from_arrays([o.slice(i, n), y.slice(i, n), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([small(g[1]).tobytes() for g in got], pa.binary())], names=["o", "y", "f", "c"])
 
     def learn(batches):
-        import pyarrow as pa
-
-        rows = [r for b in batches for r in zip(b.column("o").to_pylist(), b.column("y").to_pylist(), b.column("f").to_pylist(), b.column("c").to_pylist())]
-        rows.sort()
-        examples = []
-        for _, y, f, c in rows:
-            count = np.frombuffer(c, "<i4")
-            examples.append((np.frombuffer(f, "<i4"), SCALE * count / max(1, count.sum()), y))
+        rows = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in ("o", "y", "f", "c"))))
+
+        def examples():  # unpacked one by one: the sample is held as packed bytes
+            for _, y, f, c in rows:
+                count = np.frombuffer(c, "u1" if len(c) * 4 == len(f) else "<i4")
+                yield np.frombuffer(f, "<i4"), SCALE * count / max(1, count.sum(dtype=np.int64)), y
+
         w, b = train(examples)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
 
@@ -100,12 +104,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
     Python, and only scores come back.
 
     Cases: an older column _score is replaced. Null or empty text: the bias alone. Texts of any length are scored whole. Repeated rows: scored alike. Empty table: no rows."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("_score")
     weights = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # 2**18 floats, whatever the input
 
-    def scored(columns):
-        import pyarrow as pa
-
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, b = weights.value
         for column in columns:
             out = np.empty(len(column))
@@ -114,7 +117,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
                 out[i : i + n] = SCALE * np.bincount(row, w[f], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1) + b
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.withColumn("_score", F.arrow_udf(scored, "double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string")))
+    return docs.withColumn("_score", F.arrow_udf(scored, "double")(F.col(text).cast("string")))
 
 
 def held_out(doc_id):

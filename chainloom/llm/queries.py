@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, secrets, tokens, url_filters
-from chainloom.llm.common import without_spaces
 
 
 def vocabulary() -> str:
-    """The tokenizer file; CHAINLOOM_TOKENIZER names another."""
-    return os.environ.get("CHAINLOOM_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+    """The tokenizer file of the public set that the box offers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,11 +61,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    groups = exact_dedup.exact_groups(docs)
-    digests = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.sha2(without_spaces(F.col("text")), 256).alias("text_sha256")).dropDuplicates(["doc_id", "row_hash"])
-    same = groups["doc_id"].eqNullSafe(digests["doc_id"]) & (groups["row_hash"] == digests["row_hash"])
-    return groups.join(digests, same).select(groups["doc_id"], "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"), digest=True)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
-g AS (SELECT h, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM t GROUP BY h)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)""",
+g AS (SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, r = 1 AS kept, h AS text_sha256 FROM g""",
 }

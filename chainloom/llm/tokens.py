@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructType
 
+from chainloom.llm.common import small_batches
+
 #: Words kept in a worker's caches before they start anew: a bound on its memory.
 CACHED = 400_000
 #: Bytes of text handled at a time.
@@ -188,6 +190,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """doc_id, n_chunks (runs without blanks or line ends), n_tokens (greedy word pieces of the whole text) of each row of `docs`. No shuffle.
 
     Cases: null or empty text: 0. Repeated rows and null ids: counted alike. Texts of any length are counted whole. Empty table: no rows. Other columns are ignored."""
+    small_batches(docs.sparkSession)
     schema = StructType([docs.select(docs[doc_id].alias("doc_id")).schema[0]]).add("n_chunks", LongType()).add("n_tokens", LongType())
 
     def counted(batches):

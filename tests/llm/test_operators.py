@@ -283,16 +283,37 @@ def test_exact_dedup(spark, docs, none):
     groups = defaultdict(list)
     for i, text, _ in corpus():
         groups["".join(words(text))].append((-len(text or ""), i))
-    want = sorted((i, min(g)[1], len(g), i == min(g)[1]) for g in groups.values() for _, i in g)
+    want = sorted((i, min(g)[1], len(g), k == 0) for g in groups.values() for k, (_, i) in enumerate(sorted(g)))
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()) == want
+    assert all(r.text_sha256 == hashlib.sha256("".join(words(t)).encode()).hexdigest() for r in exact_dedup.exact_groups(docs, digest=True).collect() for i, t, _ in corpus() if i == r.doc_id)
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [w[0] for w in want if w[3]]
-    assert exact_dedup.exact_groups(none).count() == 0
+    assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
     long = "y" * 5000
     rows = spark.createDataFrame([(1, long + "a"), (2, long + "b"), (None, long + " b"), (3, long + "a")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(rows).collect()) == [(0, None, 2), (1, 1, 2), (2, None, 2), (3, 1, 2)]
 
 
+def test_exact_dedup_leaves_one_of_rows_alike(spark):
+    rows = spark.createDataFrame([(7, "same")] * 3 + [(None, "none")] * 2 + [(None, "no ne"), (8, "x"), (8, "y"), (9, None), (9, "")], "doc_id long, text string")
+    got = exact_dedup.exact_groups(rows).collect()
+    assert len(got) == 10 and Counter((r.keep_id, r.group_size) for r in got if r.kept) == {(7, 3): 1, (None, 3): 1, (8, 1): 2, (9, 2): 1}
+    left = sorted((r.doc_id or 0, r.text or "") for r in exact_dedup.drop_copies(rows).collect())
+    assert left == [(0, "no ne"), (7, "same"), (8, "x"), (8, "y"), (9, "")]
+
+
+def test_salted_join_and_filters(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("k"), "id")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = common.salted_join(rows, counts.withColumnRenamed("n", "size"), ["k"], "id", counts, 3000).collect()
+    assert len(got) == 3000 and all(r["size"] == (2000 if r.k == 1 else 1) for r in got)
+    some = rows.where("id % 5 = 0").select(F.xxhash64("id").alias("h"))
+    bits = common.membership(some, common.Scratch(spark))
+    found = {r.id for r in rows.where(common.is_in(F.xxhash64("id"), bits)).collect()}
+    assert found >= set(range(0, 3000, 5)) and len(found) < 700
+    assert {r.id for r in common.without_rows(rows, rows.where("id % 7 = 0").select("id"), "id").collect()} == {i for i in range(3000) if i % 7}
+
+
 # --- 9 near dedup
 
 @pytest.mark.parametrize("k", [2, 5])
@@ -329,6 +350,16 @@ def test_near_dedup_of_a_group_whose_least_document_is_an_outlier(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_dedup_of_ids_that_name_several_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "alpha beta gamma delta eps"), (1, text), (2, text + " x"), (None, text + " y"), (None, "a b c d"), (None, "a b c d"), (7, "a b c d e"), (None, None)]
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(1, 1): 2, (2, 1): 1, (None, 1): 1, (None, None): 3, (7, 7): 1}
+    left = near_dedup.drop_near_copies(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, _row int"), 2)
+    assert left.columns == ["doc_id", "text", "_row"]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == {(1, rows[0][1]): 1, (1, text): 1, (None, "a b c d"): 1, (7, "a b c d e"): 1, (None, None): 1}
+
+
 def test_parities_rule_no_true_pair_out(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(0, " ".join(words))] + [(n, " ".join(words[:-n] + [f"v{i}" for i in range(n)])) for n in range(1, 160, 3)]
