@@ -8,42 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.llm import exact_dedup, mixing, near_dedup, packing, quality
-from chainloom.llm.common import Scratch, shared_dir
+from chainloom.llm.common import shared_dir, with_row_key
 from chainloom.llm.queries import ACCEPT, quality_model, vocabulary
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """`docs` with `_row`, a key of each row in order of id, null last: the id where each names one row, else the row's place among all."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    if ids["n"] <= 1 and not ids["nulls"]:
-        return docs.withColumn("_row", F.col("doc_id"))
-    placed = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id())
-    return Scratch(docs.sparkSession).keep(placed)
-
-
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, taught by the labels that aren't held out, scores 0.3 or more."""
+    """Documents that the classifier, taught by the labels that aren't held out, scores 0.3 or more. Null and empty texts are scored by the bias, repeated rows alike."""
     return quality.score(docs, quality_model(spark, sf_dir)).where(F.col("_score") >= ACCEPT).drop("_score")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the longest, then the least id; of rows alike in both, the first by row key."""
-    return exact_dedup.drop_copies(with_row_key(docs), "_row").drop("_row")
+    """One row of each group of equal texts: the longest, then the least id; one of rows alike in both. Null texts count as empty, null ids sort last, an empty table gives none."""
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group over shingles of five words at a similarity of 0.8."""
-    return near_dedup.drop_near_copies(with_row_key(docs), k=5, doc_id="_row").drop("_row")
+    """One document of each group over shingles of five words at a similarity of 0.8. Texts without words stay; of rows that ids don't tell apart one of a group stays too."""
+    return near_dedup.drop_near_copies(docs, k=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents in order of service, once or twice each, until the sources' targets are met."""
-    rows = with_row_key(docs)
-    stream = mixing.mix_stream(mixing.fair_mix(rows, doc_id="_row"), whole=True).select(F.col("doc_id").alias("_id"), F.col("finish").alias("_at"), F.col("round").alias("_round"))
-    return rows.join(stream, rows["_row"] == stream["_id"]).orderBy(stream["_at"], stream["_id"], stream["_round"]).select(*[rows[c] for c in docs.columns])
+    """Whole documents in order of service, once or twice each, until the sources' targets are met. Texts without words are left out; a null source is one of its own."""
+    rows, key = with_row_key(docs)
+    stream = mixing.mix_stream(mixing.fair_mix(rows, doc_id=key), whole=True).select(F.col("doc_id").alias("_id"), F.col("finish").alias("_at"), F.col("round").alias("_round"))
+    return rows.join(stream, rows[key] == stream["_id"]).orderBy(stream["_at"], stream["_id"], stream["_round"]).select(*[rows[c] for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens. Null texts count as empty: their end id alone is packed."""
     return packing.pack(docs, vocabulary(), payload="crc32")
 
 
