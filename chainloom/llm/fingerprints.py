@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from chainloom.llm.common import Scratch
+from chainloom.llm.common import Scratch, small_batches
 from chainloom.llm.setjoin import candidates, prefix_size, reaches
 
 #: Articles and forms of "to be" of four languages, which begin a spot.
@@ -56,12 +58,13 @@ def printed(sigs: list[int]) -> str:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (8 hex digits for each signature, ascending) of each row of `docs`. No shuffle."""
+    """doc_id, fingerprint (8 hex digits for each signature, ascending) of each row of `docs`. No shuffle.
+
+    Cases: null or empty text: fingerprint "". Repeated rows and null ids: printed alike. Very long texts: whole. Empty table: no rows. Other columns are ignored."""
+    small_batches(docs.sparkSession)
     schema = StructType([docs.select(docs[doc_id].alias("doc_id")).schema[0]]).add("fingerprint", StringType())
 
     def made(batches):
-        import pyarrow as pa
-
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([printed(signatures(t.as_py() or "")) for t in batch.column(1)], pa.string())], names=schema.names)
 
@@ -70,7 +73,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def similar(prints: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of a table of doc_id, fingerprint. classes: doc_id, fingerprint's class (hash), members. links: pairs of classes whose fingerprints' Jaccard similarity
-    reaches the bound: equal fingerprints collapse first, then sets meet by prefix within partitions of set length, and are verified whole. Empty fingerprints link to none."""
+    reaches the bound: equal fingerprints collapse first, then sets meet by prefix within partitions of set length, and are verified whole. Links between different fingerprints are
+    all returned, as many as there are.
+
+    Cases: null or empty fingerprints: linked to none. Repeated rows: members of one class. Empty table: no rows."""
     scratch = Scratch(prints.sparkSession)
     own = scratch.keep(prints.select("doc_id", "fingerprint", F.xxhash64("fingerprint").alias("class")))
     one = own.where("fingerprint <> ''").groupBy("class").agg(F.min("fingerprint").alias("f"))
@@ -92,27 +98,32 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Cases: null text: empty. Empty texts: fingerprint "", likeness 1 to each other. One row alone is its own next. Equal ids are ordered by text. Null ids come first. Very long
     texts: whole. Empty table: no rows. Other columns are ignored."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    firsts = rows.select(part.alias("p"), "doc_id").groupBy("p").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("any_null")).collect()  # a row per range
-    first = {r["p"]: None if r["any_null"] else r["first"] for r in firsts}
-    full = sorted(first)
-    before = {first[p]: full[i - 1] for i, p in enumerate(full)}  # the first row's range comes after the last
-    moved = rows.withColumn("_p", part.cast("int")).withColumn("_halo", F.lit(False))
-    halo = [(k, v) for k, v in before.items()]
-    if halo:
-        at = spark.createDataFrame(halo, "k long, _p int")  # a row per range
-        extra = rows.join(F.broadcast(at), F.col("doc_id").eqNullSafe(F.col("k"))).select("doc_id", "text", "_p", F.lit(True).alias("_halo"))
-        moved = moved.union(extra)
-    moved = moved.repartition(parts, "_p").sortWithinPartitions("_p", "_halo", F.col("doc_id").asc_nulls_first(), "text")
+    # ranges of about equal numbers of rows: the least id of each, of which there are as many as partitions
+    ranges = rows.select("doc_id").repartitionByRange(parts, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()
+    firsts = sorted({r["first"] for r in ranges if r["first"] is not None})
+
+    def placed(ids: pa.Array) -> pa.Array:
+        known = ids.drop_null().to_pylist()
+        out = np.zeros(len(ids), np.int32)  # null ids come first
+        out[ids.is_valid().to_numpy(zero_copy_only=False)] = [max(bisect.bisect_right(firsts, i) - 1, 0) for i in known]
+        return pa.array(out)
+
+    moved = rows.withColumn("_p", F.arrow_udf(placed, "int")("doc_id")).withColumn("_halo", F.lit(False))
+    if any(r["nulls"] for r in ranges):
+        begins = [None, *firsts[1:]]
+    else:
+        begins = firsts
+    if begins:
+        halo = [(first, (p or max(len(firsts), 1)) - 1) for p, first in enumerate(begins)]  # the first row of all comes after the last
+        at = spark.createDataFrame(halo, StructType([StructField("_first", rows.schema["doc_id"].dataType), StructField("_p", IntegerType())]))  # a row per range
+        moved = moved.union(rows.join(F.broadcast(at), F.col("doc_id").eqNullSafe(F.col("_first"))).select("doc_id", "text", "_p", F.lit(True).alias("_halo")))
+    moved = moved.repartitionById(max(len(firsts), 1), "_p").sortWithinPartitions("_p", "_halo", F.col("doc_id").asc_nulls_first(), "text")
     schema = StructType([rows.schema["doc_id"]]).add("n_chars", LongType()).add("edited_sha256", StringType()).add("fingerprint", StringType()).add("edited_fingerprint", StringType()).add("near_edited", DoubleType()).add("near_next", DoubleType())
 
     def compared(batches):
-        import pyarrow as pa
-
         held = None  # (part, id, text, signatures) of the row that waits for its next one
         for batch in batches:
             out = []

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainloom.llm.common import with_row_key
 from chainloom.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, secrets, tokens, url_filters
 
 
@@ -22,7 +23,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.fair_mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    docs, key = with_row_key(_read(spark, sf_dir, "documents"))
+    mixed = mixing.mix_report(mixing.fair_mix(docs, key=key))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +79,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality, op4_line_dedup, op5_fingerprints, op6_url_filter, op7_secrets, op8_exact_dedup, op9_near_dedup, op10_token_counts)
 }
 
-#: The rest: op1 shuffles by a hash that DuckDB lacks, op2 and op10 tokenize, op3 and op6 learn, op4 to op7 and op9 have no SQL form that whole tables allow. Tests hold them against brute force.
+#: The rest: op2 and op10 tokenize, op3 and op6 learn, op4, op5, op7 and op9 have no SQL form that whole tables allow. Tests hold them against brute force.
 ORACLES: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR || '/17'), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS stop FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM c
+  WINDOW b AS (ORDER BY stop, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= stop THEN level END) OVER () * w, cap)) AS target FROM l),
+q AS (SELECT d.*, source_size, target, k, (sum(size) OVER (PARTITION BY d.source, k ORDER BY h, doc_id) - size + k * source_size)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (SELECT unnest([0, 1]) AS k)),
+v AS (SELECT *, greatest(0, least(size, round(target)::BIGINT - before)) AS served, (before + size) / target AS finish FROM q WHERE size > 0 AND target > 0 AND before / target < 1),
+p AS (SELECT doc_id, source, k, size AS words, finish FROM v WHERE finish <= 1 UNION ALL SELECT doc_id, source, k, served, 1.0 FROM v WHERE finish > 1 AND served > 0 UNION ALL SELECT doc_id, source, k, size - served, finish FROM v WHERE finish > 1 AND size > served),
+r AS (SELECT doc_id, words, (SELECT round(sum(target))::BIGINT FROM t) - (sum(words) OVER (ORDER BY finish, source IS NULL, source, doc_id, k) - words) AS room FROM p),
+x AS (SELECT doc_id, sum(least(words, room))::BIGINT AS taken FROM r WHERE room > 0 GROUP BY doc_id)
+SELECT d.doc_id, d.source, d.size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON d.doc_id = x.doc_id""",
     "op8_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
 g AS (SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST))

@@ -70,7 +70,8 @@ def targets(sizes, weights=(3, 1, 2), share=1.5):
 
 
 def test_mixing(docs, none):
-    rows = mixing.fair_mix(docs).collect()
+    keyed, key = common.with_row_key(docs)
+    rows = mixing.mix_report(mixing.fair_mix(keyed, key=key)).collect()
     sizes = Counter()
     for i, text, source in corpus():
         sizes[source] += len(words(text))
@@ -80,10 +81,43 @@ def test_mixing(docs, none):
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
         took[r.source] += r.taken
     assert all(abs(took[s] - want[s]) <= 1 for s in want)
-    assert sorted(map(str, mixing.fair_mix(docs.repartition(3)).collect())) == sorted(map(str, rows))
-    stream = mixing.mix_stream(mixing.fair_mix(docs), whole=True).collect()
+    again, key = common.with_row_key(docs.repartition(3))
+    assert sorted(map(str, mixing.mix_report(mixing.fair_mix(again, key=key)).collect())) == sorted(map(str, rows))
+    stream = mixing.mix_stream(mixing.fair_mix(keyed, key=key), whole=True).collect()
     assert [r.finish for r in stream] == sorted(r.finish for r in stream) and stream
-    assert mixing.fair_mix(none).count() == 0
+    assert mixing.mix_report(mixing.fair_mix(none)).count() == 0 and mixing.mix_stream(mixing.fair_mix(none), whole=True).count() == 0
+
+
+def test_order_of_service(docs):
+    """The stream against a plain queue for each source, served by virtual finish time, cut at the sum of the targets."""
+    unique = docs.where("doc_id <> 101")
+    sizes, queues = Counter(), defaultdict(list)
+    for i, text, source in corpus():
+        if i != 101:
+            sizes[source] += len(words(text))
+            queues[source].append((hashlib.md5(f"{i}/17".encode()).hexdigest()[:15], i, len(words(text))))
+    want, parts = targets(sizes), []
+    for s, queue in queues.items():
+        at = 0
+        for k in range(2):
+            for _, i, n in sorted(queue):
+                if n and at < want[s]:
+                    early = min(n, round(want[s]) - at)
+                    parts += [((at + n) / want[s], s is None, s or "", i, k, n)] if (at + n) / want[s] <= 1 else [x for x in ((1.0, s is None, s or "", i, k, early), ((at + n) / want[s], s is None, s or "", i, k, n - early)) if x[-1] > 0]
+                at += n
+    left, mix = round(sum(want.values())), []
+    for finish, _, s, i, k, n in sorted(parts):
+        if left > 0:
+            mix.append((i, k, min(n, left)))
+            left -= n
+    got = [(r.row, r["round"], r.taken) for r in mixing.mix_stream(mixing.fair_mix(unique)).collect()]
+    assert sorted(got) == sorted(mix) and left <= 0
+    times = Counter(r.row for r in mixing.mix_stream(mixing.fair_mix(unique), whole=True).collect())
+    served = Counter()
+    for i, k, n in mix:
+        served[i, k] += n
+    size = {i: len(words(t)) for i, t, _ in corpus()}
+    assert times == Counter(i for (i, k), n in served.items() if 2 * n >= size[i])
 
 
 # --- 2 packing
@@ -200,6 +234,45 @@ def test_edited_likeness(docs, none):
     assert [r.near_next for r in fingerprints.edited_likeness(docs.where("doc_id = 5")).collect()] == [1.0]
 
 
+def plain_fingerprint(text):
+    """A text's spots by their definition, word by word, hashed and printed."""
+    import xxhash
+
+    bare = [w if w.isalnum() else w.strip(".,;:!?\"'()[]|*%&$#") for w in text.lower().split()]
+    content = [w for w in bare if w and w not in fingerprints.COMMON]
+    chains = set()
+    for at, w in enumerate(bare):
+        after = [x for x in bare[at + 1 :] if x and x not in fingerprints.COMMON][:3]
+        if w in fingerprints.ANCHORS and len(after) == 3:
+            chains.add(" ".join([w, *after]))
+    if not chains and text.split():
+        runs = content if len(content) >= 3 else text.lower().split()
+        chains = {" ".join(runs[i : i + 3]) for i in range(max(len(runs) - 3, 0) + 1)}
+    return "".join(f"{h:08x}" for h in sorted({xxhash.xxh32(c).intdigest() for c in chains}))
+
+
+def test_printed_fingerprints(docs):
+    rows = sorted((i, t or "") for i, t, _ in corpus() if len(t or "") < 5000)
+    want = Counter()
+    for k, (i, text) in enumerate(rows):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + rows[(k + 1) % len(rows)][1][:half]
+        want[i, plain_fingerprint(text), plain_fingerprint(edited)] += 1
+    got = fingerprints.edited_likeness(docs.where("text IS NULL OR length(text) < 5000")).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint) for r in got) == want
+    assert Counter((r.doc_id, r.fingerprint) for r in fingerprints.fingerprints(docs).collect()) == Counter((i, plain_fingerprint(t or "")) for i, t, _ in corpus())
+
+
+def test_edited_likeness_of_ids_of_other_kinds(spark):
+    rows = [("b", "x y z"), (None, "the q w e"), ("a", None), (None, "a"), ("c", "la x y z"), ("c", "la x y z")]
+    want = []
+    ordered = sorted(((i is not None, i or "", t or "") for i, t in rows))
+    for k, (_, i, text) in enumerate(ordered):
+        want.append((i, len(text), plain_fingerprint(text), fingerprints.likeness(fingerprints.signatures(text), fingerprints.signatures(ordered[(k + 1) % len(ordered)][2]))))
+    got = fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.n_chars, r.fingerprint, r.near_next) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("words", [[f"zelle{i}" for i in range(60)], ["|", *[f"{i}|x{i}" for i in range(60)]], ["of", "that", "with"] + ["and", "on", "by", "from", "at"] * 2 + ["she"]])
 def test_an_edit_of_a_text_without_chains(words):
     edited = [*words[:5], "changed", *words[6:]]
@@ -264,6 +337,25 @@ def test_secret_scan(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_scans_of_random_texts(monkeypatch):
+    """All kinds against the regexes of their whole rules, over texts made of their pieces; chunks of a few bytes, so that signs lie across them."""
+    rng = np.random.default_rng(4)
+    pieces = ["token", "ToKen", "api_key", "passwd", "password", "=", ":", " ", " = ", '"', "'", "abc", "abcdef", "=x", "AKIA", "0123456789ABCDEF", "AKIA0123", "deadbeef" * 3, "f" * 23, "0" * 30, "é", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "gh", "ghp_", "a1B2" * 9, "xoxb-", "AIza", "A" * 35,
+              "eyJ", "abcdefgh", ".", ".eyJ", "https", "://", "me", ":", "pw12", "@", "h/", "-",
+              "https://me:pw12@", "eyJabcdefgh.eyJabcdefgh.abcdefgh", "ghp_" + "a1B2" * 9, "AIza" + "b-" * 17 + "c", "xoxb-1234567890", "-----BEGIN RSA PRIVATE KEY-----"]
+    rules = {k: (re.compile(f"(?:{r[0]})({r[1]})"), r[2]) for k, r in secrets.RULES.items()}
+    rules["url_login"] = (re.compile("(?<![a-z])(" + secrets.RULES["url_login"][1].replace("{3,}:", "{3,}+:") + ")"), 0)
+    scan = secrets.Scanner()
+    found = Counter()
+    for n in range(4000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 14)))
+        monkeypatch.setattr(secrets, "CHUNK", [4096, 5, 17][n % 3])
+        want = sorted((m.start(), i, m.end()) for i, (p, least) in enumerate(rules.values()) for m in p.finditer(text) if len(m[m.lastindex]) >= least)
+        assert scan.spans(text.encode()) == want, text
+        found.update(k for _, k, _ in want)
+    assert min(found[k] for k in range(len(rules))) > 50
+
+
 def test_logins_of_any_length(spark):
     urls = ["redis://:secret1@h", f"https://{'u' * 41}:pass1@h", f"https://me:{'p' * 61}@h", f"{'a' * 30}://me:pass1@h"]
     got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame([(i, f"see {u} é") for i, u in enumerate([*urls, "http://h:80/a@b", "x://me:pass1@h"])], "doc_id long, text string")).collect()}
