@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents in order of service, once or twice each, until the sources' targets are met. Texts without words are left out; a null source is one of its own."""
     rows, key = with_row_key(docs)
-    stream = mixing.mix_stream(mixing.fair_mix(rows, doc_id=key), whole=True).select(F.col("doc_id").alias("_id"), F.col("finish").alias("_at"), F.col("round").alias("_round"))
+    stream = mixing.mix_stream(mixing.fair_mix(rows, key=key), whole=True).select(F.col("row").alias("_id"), F.col("finish").alias("_at"), F.col("round").alias("_round"))
     return rows.join(stream, rows[key] == stream["_id"]).orderBy(stream["_at"], stream["_id"], stream["_round"]).select(*[rows[c] for c in docs.columns])
 
 
