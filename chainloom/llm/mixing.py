@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from chainloom.llm.common import WORD, Scratch
 
-#: Rows that one task sorts, about: the queues and the mix are cut into as many buckets as that takes.
-ROWS = 20_000
-
 
 def word_count(text: Column) -> Column:
     """Number of words; null counts as no word."""
@@ -37,8 +34,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, rep
 
 
 def _buckets(rows: int) -> int:
-    """A power of two, so that every bucket has about ROWS rows; the result doesn't depend on it."""
-    return 1 << max(0, (rows // ROWS).bit_length())
+    """A power of two near the root of the number of rows: neither the rows of one bucket nor the buckets are many for one task. The result doesn't depend on it."""
+    return 1 << (rows.bit_length() // 2 + 1)
 
 
 def fair_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17, key: str | None = None) -> DataFrame:
