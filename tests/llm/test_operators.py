@@ -190,30 +190,71 @@ def test_quality_held_out_accuracy(spark):
 # --- 4 lines
 
 def test_line_dedup(docs, none):
-    place, sets = {}, {}
-    for i, text, _ in corpus():
-        for k, line in enumerate((text or "").split("\n")):
-            sets[i, k] = frozenset(w for w in re.split("[ \t\x0b\x0c\r]+", line.lower()) if w)
-    order = sorted(sets)
-    gone, links = set(), defaultdict(set)
+    check_lines(docs, [(i, t) for i, t, _ in corpus()])
+    assert line_dedup.line_report(none).count() == 0 and line_dedup.drop_lines(none).count() == 0
+
+
+def test_line_dedup_of_crowds(spark):
+    """A few hundred lines that differ by some words from a few common ones: some match by a hair, some don't."""
+    rng = np.random.default_rng(8)
+    bases, rows = [[f"b{b}w{j}" for j in range(30 + b)] for b in range(4)], []
+    for i in range(300):
+        line = list(bases[rng.integers(0, 4)])
+        for j in rng.choice(len(line), rng.integers(0, 5), replace=False):
+            line[j] = f"v{rng.integers(0, 40)}"
+        rows.append((int(rng.integers(0, 200)), " ".join(line) + "\nshort one\n" + " ".join(line[:12])))
+    check_lines(spark.createDataFrame(rows + [(None, rows[0][1]), (None, None)], "doc_id long, text string"), [*rows, (None, rows[0][1]), (None, None)])
+
+
+def check_lines(docs, rows):
+    """Against every pair of lines: what goes, that links are true, and that they connect what all links do."""
+    lines, links = line_dedup.matched_lines(docs)
+    got, links = lines.collect(), links.collect()
+    assert Counter(r.doc_id for r in got) == sum((Counter({i: len((t or "").split("\n"))}) for i, t in rows), Counter())
+    left = line_dedup.drop_lines(docs).collect()
+    report = line_dedup.line_report(docs).collect()
+    assert len(report) == len(left) == len(rows)
+    keyed, key = common.with_row_key(docs)
+    sets = {}
+    for r in keyed.collect():
+        for k, line in enumerate((r.text or "").split("\n")):
+            sets[r[key], k] = frozenset(w for w in re.split("[ \t\x0b\x0c\r]+", line.lower()) if w)
     near = lambda a, b: a and b and 10 * len(a & b) >= 8 * len(a | b)
-    for n, x in enumerate(order):
-        for y in order[:n]:
-            if near(sets[x], sets[y]):
-                gone.add(x)
-                if sets[x] != sets[y]:
-                    links[sets[x]].add(sets[y])
-                    links[sets[y]].add(sets[x])
-    lines, _ = line_dedup.matched_lines(docs)
-    rows = lines.collect()
-    assert {(r.doc_id, r.line) for r in rows if r.removed} == gone
-    assert all(r.links == len(links[sets[r.doc_id, r.line]]) for r in rows)
-    left = {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()}
-    for i, text, _ in corpus():
-        assert left[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone))
-    report = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
-    assert report[4].removed_lines == ",".join(str(k) for k in range(99) if (4, k) in gone) and not place
-    assert line_dedup.line_report(none).count() == 0
+    first, gone, linked = {}, set(), set()
+    for x in sorted(sets):
+        if sets[x] in first:
+            gone.add(x)
+        elif sets[x]:
+            first[sets[x]] = x
+    different, root = list(first), {s: s for s in first}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    for n, x in enumerate(different):
+        for y in different[:n]:
+            if near(x, y):
+                linked.add(x)
+                root[find(x)] = find(y)
+    true, of = {s: find(s) for s in first}, {}
+    for r in got:
+        s = sets[r.row, r.line]
+        assert (r["class"] is None) == (not s) and of.setdefault(r["class"], s) == s
+        assert r.linked == (s in linked) and r.removed == ((r.row, r.line) in gone or s in linked), (r, s)
+    assert len(of) - (None in of) == len(first)
+    root = {s: s for s in first}
+    for a, b in links:
+        assert near(of[a], of[b]) and a != b
+        root[find(of[a])] = find(of[b])
+    assert len({find(s) for s in first}) == len(set(true.values())) < len(first)
+    want = Counter()
+    for r in keyed.collect():
+        kept = [x for k, x in enumerate((r.text or "").split("\n")) if not ((r[key], k) in gone or sets[r[key], k] in linked)]
+        want[r.doc_id, None if r.text is None else "\n".join(kept)] += 1
+    assert Counter((r.doc_id, r.text) for r in left) == want
+    assert sum(r.n_removed for r in report) == sum(r.removed for r in got) and all(r.n_removed == len([x for x in r.removed_lines.split(",") if x]) for r in report)
 
 
 # --- 5 fingerprints
