@@ -123,6 +123,33 @@ def without_rows(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return docs.where(~there).union(some.join(gone, some[key] == gone["_gone"], "left_anti"))
 
 
+def tidy(f):
+    """A function of batches that at its end gives freed memory back to the system. Worker processes are kept for later tasks, and allocators keep what they have had; beside a JVM
+    that counts."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def without_spaces(text):
     """Column: the text (null: empty) without the six white-space bytes; chained replacements stay in generated code."""
     out = F.coalesce(text, F.lit(""))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from chainloom.llm.common import Scratch, small_batches
+from chainloom.llm.common import Scratch, small_batches, tidy
 from chainloom.llm.setjoin import candidates, prefix_size, reaches
 
 #: Articles and forms of "to be" of four languages, which begin a spot.
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([printed(signatures(t.as_py() or "")) for t in batch.column(1)], pa.string())], names=schema.names)
 
-    return docs.select(docs[doc_id], docs[text]).mapInArrow(made, schema)
+    return docs.select(docs[doc_id], docs[text]).mapInArrow(tidy(made), schema)
 
 
 def similar(prints: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -142,4 +142,4 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             columns = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=schema.names)
 
-    return moved.mapInArrow(compared, schema)
+    return moved.mapInArrow(tidy(compared), schema)

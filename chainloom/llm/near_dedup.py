@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from chainloom.llm.common import Scratch, blocks, hash_shingles, hash_words, is_in, membership, salted_join, small_batches, with_row_key, without_rows
+from chainloom.llm.common import Scratch, blocks, hash_shingles, hash_words, is_in, membership, salted_join, small_batches, tidy, with_row_key, without_rows
 
 SIMILARITY = 0.8
 #: Two sets of similarity s share no band with probability (1 - s**ROWS)**BANDS: 5e-7 at 0.8, 1e-9 at 0.85.
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))], names=schema.names)
 
-    return docs.mapInArrow(made, schema)
+    return docs.mapInArrow(tidy(made), schema)
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -93,7 +93,7 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
             for i, sets in shingle_sets(batch.column(1), k):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), *map(pa.array, _names(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(made, schema)
+    return docs.mapInArrow(tidy(made), schema)
 
 
 def alike(x, y, nx, ny, similarity: float):
@@ -127,7 +127,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
-    return both.mapInArrow(checked, pairs.select("a", "b").schema)
+    return both.mapInArrow(tidy(checked), pairs.select("a", "b").schema)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

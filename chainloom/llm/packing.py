@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from chainloom.llm.common import small_batches
+from chainloom.llm.common import small_batches, tidy
 from chainloom.llm.tokens import text_blocks, word_ids
 
 LENGTH = 4096
@@ -91,4 +91,4 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         if parts:
             yield emit()
 
-    return docs.select(docs[doc_id], docs[text]).mapInArrow(packed, schema)
+    return docs.select(docs[doc_id], docs[text]).mapInArrow(tidy(packed), schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import blocks, hash_words, mix, small_batches
+from chainloom.llm.common import blocks, give_back, hash_words, mix, small_batches, tidy
 
 #: At most so many labelled rows are trained on, chosen by a hash of their id: a bound on the one task that trains.
 SAMPLE = 20_000
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         w, b = train(examples)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
 
-    model = rows.mapInArrow(hashed, "o long, y int, f binary, c binary").repartition(1).mapInArrow(learn, "w binary, b double").collect()
+    model = rows.mapInArrow(tidy(hashed), "o long, y int, f binary, c binary").repartition(1).mapInArrow(tidy(learn), "w binary, b double").collect()
     return (np.frombuffer(model[0]["w"], "<f8"), model[0]["b"]) if model else (np.zeros(1 << BITS), 0.0)
 
 
@@ -116,6 +116,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
                 f, row = features(data, offsets)
                 out[i : i + n] = SCALE * np.bincount(row, w[f], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1) + b
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
+        give_back()
 
     return docs.withColumn("_score", F.arrow_udf(scored, "double")(F.col(text).cast("string")))
 

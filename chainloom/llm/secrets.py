@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructType
 
-from chainloom.llm.common import small_batches
+from chainloom.llm.common import small_batches, tidy
 
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 _names = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|[aA][pP][iI]_?[kK][eE][yY]"
@@ -293,7 +293,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], names=schema.names)
 
-    return docs.select(docs[doc_id], docs[text]).mapInArrow(scanned, schema)
+    return docs.select(docs[doc_id], docs[text]).mapInArrow(tidy(scanned), schema)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -320,4 +320,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
                 out.append("".join(parts) + value[at:] if value else value)
             yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type))
 
-    return docs.mapInArrow(redacted, docs.schema)
+    return docs.mapInArrow(tidy(redacted), docs.schema)

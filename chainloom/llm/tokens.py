@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructType
 
-from chainloom.llm.common import small_batches
+from chainloom.llm.common import small_batches, tidy
 
 #: Words kept in a worker's caches before they start anew: a bound on its memory.
 CACHED = 400_000
@@ -95,13 +95,15 @@ class WordIds:
         """(ids, row offsets) of a slice, with the id `end` after each row."""
         different, places, offsets = chunks(column)
         coded = [*map(self.chunks.__getitem__, different), np.array([end], "<u4").tobytes()]
-        sizes = np.array([len(x) >> 2 for x in coded])
-        flat, begins = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        sizes = np.array([len(x) >> 2 for x in coded], np.int32)
+        flat = np.frombuffer(b"".join(coded), "<u4")
         places = np.insert(places, offsets[1:], len(coded) - 1)
         size = sizes[places]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(begins[places] - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[offsets + np.arange(len(offsets))]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        kind = np.int32 if max(total[-1], len(flat)) < 1 << 31 else np.int64  # half the memory for all but a giant text
+        at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[places] - total[:-1]).astype(kind), size)
+        at += np.arange(len(at), dtype=kind)
+        return flat[at], total[offsets + np.arange(len(offsets))]
 
 
 @lru_cache(2)
@@ -205,4 +207,4 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 filled = np.concatenate([[0], np.cumsum(np.array([w != "" for w in different], bool)[places])])[offsets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(column)), pa.array(np.diff(filled), pa.int64()), pa.array(np.diff(totals), pa.int64())], names=["doc_id", "n_chunks", "n_tokens"])
 
-    return docs.select(docs[doc_id], docs[text]).mapInArrow(counted, schema)
+    return docs.select(docs[doc_id], docs[text]).mapInArrow(tidy(counted), schema)
