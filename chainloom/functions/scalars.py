@@ -1,23 +1,10 @@
-"""Scalar functions: hex, quantities, keys, envelopes, redaction, the circuit breaker."""
+"""Scalar functions: hex, quantities, keys, envelopes, redaction."""
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chainloom.registry import query
 
 
-def breaker(outcomes: Column, threshold: int = 2) -> Column:
-    """The breaker's state after each of an ordered array of struct(event_id, bad): open after `threshold` failures in a row, closed by a success."""
-    start = F.struct(F.lit(0).alias("run"), F.array().cast("array<struct<event_id:bigint,bad:boolean,state:string>>").alias("out"))
-
-    def step(s, x):
-        run = F.when(x["bad"], s["run"] + 1).otherwise(0)
-        state = F.when(run >= threshold, "open").when(s["run"] >= threshold, "half-open").otherwise("closed")
-        return F.struct(run.alias("run"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), x["bad"].alias("bad"), state.alias("state")))).alias("out"))
-
-    return F.aggregate(outcomes, start, step)["out"]
-
-
 @query("hex_roundtrip", "SELECT p_partkey, '0x' || lower(hex(p_name)) AS hexed, p_name AS back FROM part")
 def hex_roundtrip(c):
     h = F.lower(F.hex("p_name"))

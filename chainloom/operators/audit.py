@@ -8,8 +8,8 @@ from chainloom.registry import query
 REPLICAS = ("a", "b", "c")
 CHUNK = 1000
 CONTENT = ("header", "receipts", "traces")
-_all = "allr AS (SELECT block_number AS n, r AS replica, header, receipts, traces FROM blocks CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(r) LEFT JOIN replicas ON n = block_number AND replica = r)"
-_grp = f"{_all}, grp AS (SELECT n, header, receipts, traces, count(*) AS size, min(replica) AS first FROM allr WHERE header IS NOT NULL GROUP BY ALL), good AS (SELECT n, arg_min(first, (-size, first)) AS replica FROM grp GROUP BY 1)"
+_all = "allr AS (SELECT block_number AS n, r AS replica, header, receipts, traces, outputs FROM blocks CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(r) LEFT JOIN replicas ON n = block_number AND replica = r)"
+_grp = f"{_all}, grp AS (SELECT n, header, receipts, traces, max(outputs) AS outputs, count(*) AS size, min(replica) AS first FROM allr WHERE header IS NOT NULL GROUP BY n, header, receipts, traces), good AS (SELECT n, arg_min(first, (-outputs, -size, first)) AS replica FROM grp GROUP BY 1)"
 _reason = "CASE WHEN {a}.header <> {b}.header THEN 'Header' WHEN {a}.receipts <> {b}.receipts THEN 'ReceiptsContents' WHEN {a}.traces <> {b}.traces THEN 'TracesContents' END"
 _flt = f"{_grp}, flt AS (SELECT x.n, x.replica, CASE WHEN x.header IS NULL THEN 'Missing' ELSE {_reason.format(a='x', b='g')} END AS kind FROM allr x JOIN good USING (n) JOIN allr g ON g.n = x.n AND g.replica = good.replica)"
 
@@ -21,12 +21,12 @@ def matrix(c) -> DataFrame:
 
 
 def groups(c):
-    return c.replicas.groupBy("n", *CONTENT).agg(F.count("*").alias("size"), F.min("replica").alias("first"))
+    return c.replicas.groupBy("n", *CONTENT).agg(F.max("outputs").alias("outputs"), F.count("*").alias("size"), F.min("replica").alias("first"))
 
 
 def good(c):
-    """The replica to trust: the first of the largest group of equal content."""
-    r = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("size"), "first"))
+    """The replica to trust: the first of the group of equal content with most trace outputs that aren't empty; of several, the largest."""
+    r = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("outputs"), F.desc("size"), "first"))
     return groups(c).withColumn("r", r).where("r = 1").select("n", F.col("first").alias("replica"), *CONTENT)
 
 
@@ -95,7 +95,7 @@ def fault_chunks_in_range(c):
     return faults(c).select("replica", F.expr(f"n div {CHUNK} * {CHUNK}").alias("chunk")).where(f"chunk + {CHUNK} > 500 AND chunk <= 3000").distinct()
 
 
-@query("parent_hash_faults", "SELECT x.replica, x.n FROM replicas x JOIN replicas y ON x.replica = y.replica AND x.n = y.n + 1 AND x.n // 1000 = y.n // 1000 WHERE x.parent_hash <> y.header")
+@query("parent_hash_faults", f"SELECT replica, n FROM (SELECT replica, n, parent_hash, lag(n) OVER w AS pn, lag(header) OVER w AS ph FROM replicas WINDOW w AS (PARTITION BY replica, n // {CHUNK} ORDER BY n)) WHERE pn = n - 1 AND parent_hash <> ph")
 def parent_hash_faults(c):
     """Within chunks of 1000 blocks, as the checker compares them."""
     w = Window.partitionBy("replica", F.expr(f"n div {CHUNK}")).orderBy("n")
@@ -116,7 +116,7 @@ def recheck_diff(c):
     return old.subtract(f).withColumn("change", F.lit("fixed")).union(f.subtract(old).withColumn("change", F.lit("new")))
 
 
-@query("fault_fix_plan", f", {_flt} SELECT f.n, f.replica, f.kind, g.replica AS source, CASE WHEN g.size < 2 THEN 'no good replica' ELSE 'fixable' END AS plan FROM flt f JOIN (SELECT n, arg_min(first, (-size, first)) AS replica, max(size) AS size FROM grp GROUP BY 1) g USING (n) WHERE f.kind IS NOT NULL")
+@query("fault_fix_plan", f", {_flt} SELECT f.n, f.replica, f.kind, g.replica AS source, CASE WHEN g.size < 2 THEN 'no good replica' ELSE 'fixable' END AS plan FROM flt f JOIN (SELECT n, arg_min(first, (-outputs, -size, first)) AS replica, max(size) AS size FROM grp GROUP BY 1) g USING (n) WHERE f.kind IS NOT NULL")
 def fault_fix_plan(c):
     size = groups(c).groupBy("n").agg(F.max("size").alias("size"))
     return faults(c).join(size, "n").selectExpr("n", "replica", "kind", "good AS source", "CASE WHEN size < 2 THEN 'no good replica' ELSE 'fixable' END AS plan")

@@ -39,12 +39,43 @@ def fee_rewards(c):
     return rewards(_block_txs(c))
 
 
-@query("fee_history", f", {_rw}, g AS (SELECT block_number, CAST(sum(gas) AS BIGINT) AS gas FROM bt GROUP BY 1) SELECT block_number, base_fee, gas / 30000000.0::DOUBLE AS gas_used_ratio, max(reward) FILTER (p = 50) AS median_tip FROM blocks JOIN g USING (block_number) JOIN rw USING (block_number) WHERE block_number BETWEEN 20 AND 60 GROUP BY ALL")
+MAX_BLOCKS, MAX_PERCENTILES = 1024, 100
+
+
+def check_history(count: int, percentiles) -> None:
+    """Refuses what a fee history may not be asked for."""
+    if not 0 <= count <= MAX_BLOCKS:
+        raise ValueError(f"block count must be between 1 and {MAX_BLOCKS}")
+    if len(percentiles) > MAX_PERCENTILES:
+        raise ValueError(f"number of reward percentiles must be less than or equal to {MAX_PERCENTILES}")
+    if any(not 0 <= p <= 100 for p in percentiles):
+        raise ValueError("reward percentiles must be between 0-100")
+    if list(percentiles) != sorted(percentiles):
+        raise ValueError("reward percentiles must be sorted")
+
+
+def history(blocks: DataFrame, txs: DataFrame, newest, count: int, percentiles=PERCENTILES) -> DataFrame:
+    """block_number, base_fee, gas_used_ratio, rewards (comma-joined, by percentile) of the `count` blocks up to `newest`, a column; then one row more with the next block's base fee,
+    or the last one's where there is none yet."""
+    check_history(count, percentiles)
+    within = (F.col("block_number") <= newest) & (F.col("block_number") > newest - count)
+    blocks, some = blocks.select("block_number", "base_fee", "gas_limit"), txs.where(within)
+    gas = some.groupBy("block_number").agg(F.sum("gas").alias("gas"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "reward"))), lambda x: x["reward"]), ",")
+    tips = rewards(some, percentiles).groupBy("block_number").agg(listed.alias("rewards"))
+    out = blocks.where(within).join(gas, "block_number", "left").join(tips, "block_number", "left")
+    out = out.select("block_number", "base_fee", (F.coalesce("gas", F.lit(0)) / F.col("gas_limit")).alias("gas_used_ratio"), "rewards")
+    last = blocks.where((F.col("block_number") == newest) | (F.col("block_number") == newest + 1)).agg(F.max_by("base_fee", "block_number").alias("base_fee"))
+    return out.union(last.select((newest + 1).alias("block_number"), "base_fee", F.lit(None).cast("double"), F.lit(None).cast("string"))) if count else out.limit(0)
+
+
+@query("fee_history", f""", {_rw}, g AS (SELECT block_number, CAST(sum(gas) AS BIGINT) AS gas FROM bt GROUP BY 1), h AS (SELECT max(block_number) AS head FROM blocks)
+ SELECT block_number, base_fee, gas / 30000000.0::DOUBLE AS gas_used_ratio, string_agg(reward, ',' ORDER BY p) AS rewards FROM blocks JOIN g USING (block_number) JOIN rw USING (block_number), h WHERE block_number > head - {MAX_BLOCKS} GROUP BY ALL
+ UNION ALL SELECT head + 1, base_fee, NULL, NULL FROM blocks, h WHERE block_number = head""")
 def fee_history(c):
-    t = _block_txs(c).where("block_number BETWEEN 20 AND 60")
-    r = rewards(t, (50.0,)).select("block_number", F.col("reward").alias("median_tip"))
-    g = t.groupBy("block_number").agg((F.sum("gas") / F.lit(30000000.0)).alias("gas_used_ratio"))
-    return c.blocks.where("block_number BETWEEN 20 AND 60").join(g, "block_number").join(r, "block_number").select("block_number", "base_fee", "gas_used_ratio", "median_tip")
+    """The longest history that may be asked for, up to the newest block."""
+    head = c.raw("orders").agg(F.max(F.expr("o_orderkey div 10")).alias("head")).scalar()
+    return history(c.blocks, _block_txs(c), head, MAX_BLOCKS)
 
 
 @query("gas_price", "SELECT arg_max(base_fee, block_number) + 2000000000 AS price FROM blocks")
@@ -68,11 +99,13 @@ def gas_math(c):
     return c.receipts.selectExpr("tx_id", "gas_used * 64 div 63 AS grossed", "gas_used - gas_used div 64 AS passed", "round(gas_used / 30000000.0D, 6) AS ratio", "coalesce(try_add(gas_used, 9223372036854000000), 9223372036854775807) AS capped")
 
 
-@query("gas_estimate_bisect", "SELECT tx_id, true AS enough, true AS close FROM receipts")
+@query("gas_estimate_bisect", """, half(gas, lo, hi) AS (SELECT DISTINCT gas_used, CAST(20999 AS BIGINT), CAST(30000000 AS BIGINT) FROM receipts UNION ALL
+ SELECT gas, CASE WHEN (lo + hi) // 2 >= gas THEN lo ELSE (lo + hi) // 2 END, CASE WHEN (lo + hi) // 2 >= gas THEN (lo + hi) // 2 ELSE hi END FROM half WHERE (hi - lo) / hi >= 0.015::DOUBLE)
+ SELECT tx_id, hi AS estimate FROM receipts JOIN half ON gas = gas_used WHERE (hi - lo) / hi < 0.015::DOUBLE""")
 def gas_estimate_bisect(c):
-    """The limit found by halving until the span is under 1.5 % of it: at least the gas needed, and close to it. One fold per transaction, no iteration of jobs."""
-    step = "aggregate(sequence(1, 60), named_struct('lo', 20999L, 'hi', 30000000L), (s, i) -> if((s.hi - s.lo) / s.hi < 0.015, s, if((s.hi + s.lo) div 2 >= gas_used, named_struct('lo', s.lo, 'hi', (s.hi + s.lo) div 2), named_struct('lo', (s.hi + s.lo) div 2, 'hi', s.hi))))"
-    return c.receipts.withColumn("s", F.expr(step)).selectExpr("tx_id", "s.hi >= gas_used AS enough", "(s.hi - s.lo) / s.hi < 0.015 AS close")
+    """The limit found by halving until the span is under 1.5 % of it. One fold per transaction, no iteration of jobs."""
+    step = "aggregate(sequence(1, 60), named_struct('lo', 20999L, 'hi', 30000000L), (s, i) -> if((s.hi - s.lo) / s.hi < 0.015D, s, if((s.hi + s.lo) div 2 >= gas_used, named_struct('lo', s.lo, 'hi', (s.hi + s.lo) div 2), named_struct('lo', (s.hi + s.lo) div 2, 'hi', s.hi))))"
+    return c.receipts.withColumn("s", F.expr(step)).selectExpr("tx_id", "s.hi AS estimate")
 
 
 @query("access_list_merge", "SELECT address, string_agg(part, ',' ORDER BY part) AS keys FROM (SELECT DISTINCT address, part FROM logs0) GROUP BY 1")

@@ -125,20 +125,14 @@ def bitmap_and(c):
     return both.groupBy("page").agg(F.sum("n").alias("n"))
 
 
-@query("bitmap_member_all", f", {_ids} SELECT id, topic0 = 'R' AS member FROM ids")
-def bitmap_member_all(c):
+@query("bitmap_member", f", {_ids} SELECT id, topic0 = 'R' AS member FROM ids")
+def bitmap_member(c):
     """Every log id tested against the bitmaps of one value."""
     p = pages(_low(log_filters(c)).where("kind = 'Topic0' AND value = 'R'")).select("page", "half", F.col("bitmap").alias("b"))
     ids = log_ids(c).selectExpr("id", f"id div {PAGE} AS page", f"(id % {PAGE}) div {HALF} AS half", f"id % {HALF} AS bit")
     return _member(ids, p)
 
 
-@query("bitmap_member", f", {_ids} SELECT id, topic0 = 'R' AS member FROM ids WHERE id % 101 = 0")
-def bitmap_member(c):
-    """The ids of bitmap_member_all that its SQL asks for."""
-    return bitmap_member_all(c).where("id % 101 = 0")
-
-
 def _bit_set():
     """Whether `bit` is set in the bitmap `b`."""
     return F.expr("getbit(CAST(conv(hex(substring(b, CAST(bit div 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(bit % 8 AS INT)) = 1")
@@ -150,12 +144,21 @@ def _member(ids, p):
 
 @query("bitmap_merge_committed", f", {_ids} SELECT topic0 AS value, count(*) AS n FROM ids GROUP BY 1")
 def bitmap_merge_committed(c):
-    """A page written up to the frontier, cut there, joined with what comes after it: the same as one write."""
+    """Pages of an index whose last flush failed: ids from the committed frontier on were written, under a wrong value at that. They are cut off before the flush is done again."""
     f, frontier = _low(log_filters(c)).where("kind = 'Topic0'"), 1000
-    merged = pages(f.where(f"id < {frontier}")).union(pages(f.where(f"id >= {frontier}"))).groupBy("value", "page", "half").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("n"))
+    failed = f.where(f"id >= {frontier} AND id < {frontier} + 700").withColumn("value", F.lit("A"))
+    held = cut_pages(pages(f.where(f"id < {frontier}").union(failed)), c.spark.range(frontier))
+    merged = held.union(pages(f.where(f"id >= {frontier}"))).groupBy("value", "page", "half").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("n"))
     return merged.groupBy("value").agg(F.sum("n").alias("n"))
 
 
+def cut_pages(held, committed):
+    """Pages with the committed ids' bits alone: each is joined with its place's mask and ANDed."""
+    mask = pages(committed.select("id", F.lit("").alias("kind"), F.lit("").alias("value"))).select("page", "half", F.col("bitmap").alias("mask"))
+    both = held.join(mask, ["page", "half"]).select("kind", "value", "page", "half", F.explode(F.array("bitmap", "mask")).alias("bitmap"))
+    return both.groupBy("kind", "value", "page", "half").agg(F.bitmap_and_agg("bitmap").alias("bitmap"))
+
+
 def all_filters(c):
     """The filters of all families, the kind led by its family: ids are of the family's own."""
     families = (("block", filters_block(c)), ("tx", filters_tx(c)), ("log", log_filters(c)), ("trace", filters_trace(c)))
@@ -163,13 +166,30 @@ def all_filters(c):
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
 
 
-@query("bitmap_validate", "SELECT 'missing' AS side, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'orphaned', 0")
+_kinds = ("SELECT block_number AS id, 'block:Miner' AS kind, CAST(miner AS VARCHAR) AS value FROM blocks UNION ALL SELECT tx_id, 'tx:From', CAST(sender AS VARCHAR) FROM txs"
+          " UNION ALL SELECT tx_id, 'tx:To', CAST(to_addr AS VARCHAR) FROM txs WHERE to_addr IS NOT NULL UNION ALL SELECT tx_id, 'tx:Selector', selector FROM txs UNION ALL SELECT id, 'log:' || kind, value FROM flog"
+          " UNION ALL SELECT tx_id, 'trace:From', CAST(from_addr AS VARCHAR) FROM traces UNION ALL SELECT tx_id, 'trace:To', CAST(to_addr AS VARCHAR) FROM traces WHERE to_addr IS NOT NULL UNION ALL SELECT tx_id, 'trace:TopLevel', '1' FROM traces WHERE depth = 0")
+_allf = f"{_ids}, {_flog}, allf AS (SELECT DISTINCT * FROM ({_kinds})), havef AS (SELECT DISTINCT id, kind, CASE WHEN id % 401 = 9 THEN 'wrong' ELSE value END AS value FROM allf WHERE id % 499 <> 7)"
+
+
+def stored_filters(filters):
+    """The filters as an index holds them that lost some ids and files others under a wrong value."""
+    return filters.where("id % 499 <> 7").withColumn("value", F.expr("CASE WHEN id % 401 = 9 THEN 'wrong' ELSE value END"))
+
+
+@query("bitmap_validate", f", {_allf} SELECT 'missing' AS side, count(*) AS n FROM (FROM allf EXCEPT FROM havef) UNION ALL SELECT 'orphaned', count(*) FROM (FROM havef EXCEPT FROM allf)")
 def bitmap_validate(c):
-    """Bits that a filter should have set and hasn't, and bits set that no row has, over every filter of every family. Expected bits are tested one by one where they meet their
-    page; what a page counts beyond those found in it is orphaned, so nothing is decoded. A key holds 32768 bits at most."""
-    f, key = all_filters(c), ["kind", "value", "page", "half"]
-    want = f.distinct().selectExpr("kind", "value", f"id div {PAGE} AS page", f"(id % {PAGE}) div {HALF} AS half", f"id % {HALF} AS bit")
-    have = pages(f).select(*key, F.col("bitmap").alias("b"), F.bitmap_count("bitmap").alias("set"))
+    """Every filter of every family against an index with planted faults."""
+    f = all_filters(c)
+    return bitmap_differences(f, stored_filters(f))
+
+
+def bitmap_differences(wanted, stored):
+    """Bits that a filter should have set and hasn't, and bits set that no row has. Expected bits are tested one by one where they meet their page; what a page counts beyond those
+    found in it is orphaned, so nothing is decoded. A key holds 32768 bits at most."""
+    key = ["kind", "value", "page", "half"]
+    want = wanted.distinct().selectExpr("kind", "value", f"id div {PAGE} AS page", f"(id % {PAGE}) div {HALF} AS half", f"id % {HALF} AS bit")
+    have = pages(stored).select(*key, F.col("bitmap").alias("b"), F.bitmap_count("bitmap").alias("set"))
     both = want.join(have, key, "full").select(*key, "bit", "set", (F.col("bit").isNotNull() & F.coalesce(_bit_set(), F.lit(False))).alias("found"))
     n = both.groupBy(*key).agg(F.count("bit").alias("wanted"), F.count_if("found").alias("found"), F.coalesce(F.max("set"), F.lit(0)).alias("set"))
     sums = n.agg(F.coalesce(F.sum(F.col("wanted") - F.col("found")), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.col("set") - F.col("found")), F.lit(0)).alias("orphaned"))
@@ -223,20 +243,33 @@ def id_pages(c):
     return c.txs.selectExpr("tx_id", f"tx_id div {PAGE} * {PAGE} AS page", f"tx_id div {ITEMS} AS bucket")
 
 
-@query("validate_contiguity", "SELECT family, CAST(0 AS BIGINT) AS violations FROM (VALUES ('log'), ('tx')) v(family)")
+_stored = f"{_ranges}, stored AS (SELECT block_number, family, n, first + CASE WHEN family = 'log' AND block_number % 131 = 17 THEN 1 ELSE 0 END AS first FROM rng WHERE NOT (family = 'tx' AND block_number % 137 = 5))"
+
+
+def stored_ranges(c):
+    """The ranges as an index holds them that lost some rows of one family and has some of another wrong."""
+    return ranges(c).where("NOT (family = 'tx' AND block_number % 137 = 5)").withColumn("first", F.col("first") + F.expr("CASE WHEN family = 'log' AND block_number % 131 = 17 THEN 1 ELSE 0 END"))
+
+
+@query("validate_contiguity", f", {_stored} SELECT family, count(*) FILTER (first <> want) AS violations FROM (SELECT *, lag(first + n) OVER (PARTITION BY family ORDER BY block_number) AS want FROM stored) GROUP BY 1")
 def validate_contiguity(c):
+    return contiguity(stored_ranges(c))
+
+
+def contiguity(ranges):
     """Each range begins where the one before it ends: within chunks of 1024 blocks by their rows, between chunks by one row for each, so no window holds all blocks."""
-    df = ranges(c).withColumn("_c", F.expr("block_number div 1024")).withColumn("_end", F.col("first") + F.col("n"))
+    df = ranges.withColumn("_c", F.expr("block_number div 1024")).withColumn("_end", F.col("first") + F.col("n"))
     inner = df.withColumn("want", F.lag("_end").over(Window.partitionBy("family", "_c").orderBy("block_number"))).select("family", "first", "want")
     chunks = df.groupBy("family", "_c").agg(F.min_by("first", "block_number").alias("first"), F.max_by("_end", "block_number").alias("_end"))
     outer = chunks.withColumn("want", F.lag("_end").over(Window.partitionBy("family").orderBy("_c"))).select("family", "first", "want")
     return inner.union(outer).groupBy("family").agg(F.count_if(F.expr("first <> want")).alias("violations"))
 
 
-@query("validate_block_index", "SELECT CAST(0 AS BIGINT) AS violations")
+@query("validate_block_index", f", {_stored} SELECT 'missing' AS side, family, block_number FROM (SELECT family, block_number, first FROM rng WHERE n > 0 EXCEPT SELECT family, block_number, first FROM stored) UNION ALL SELECT 'wrong', family, block_number FROM (SELECT family, block_number, first FROM stored WHERE n > 0 EXCEPT SELECT family, block_number, first FROM rng)")
 def validate_block_index(c):
-    r = ranges(c).where("n > 0")
-    return r.groupBy("family", "first").agg(F.count("*").alias("k")).agg(F.count_if(F.expr("k > 1")).alias("violations"))
+    """First ids that the index lacks, and such as it has and no block begins with."""
+    want, have = (df.where("n > 0").select("family", "block_number", "first") for df in (ranges(c), stored_ranges(c)))
+    return want.exceptAll(have).select(F.lit("missing").alias("side"), "family", "block_number").union(have.exceptAll(want).select(F.lit("wrong").alias("side"), "family", "block_number"))
 
 
 @query("validate_frontier", f", {_ranges} SELECT family, CAST(sum(n) AS BIGINT) AS next_id, max(first + n) AS frontier FROM rng GROUP BY 1")
@@ -244,7 +277,12 @@ def validate_frontier(c):
     return ranges(c).groupBy("family").agg(F.sum("n").alias("next_id"), F.max(F.col("first") + F.col("n")).alias("frontier"))
 
 
-@query("validate_payload_bounds", "SELECT CAST(0 AS BIGINT) AS violations")
+_soff = f"{_off}, soff AS (SELECT id, bucket, len, \"end\" - CASE WHEN id % 577 = 3 THEN 1 ELSE 0 END AS \"end\" FROM off)"
+
+
+@query("validate_payload_bounds", f", {_ids}, {_soff} SELECT id FROM (SELECT *, coalesce(lag(\"end\") OVER (PARTITION BY bucket ORDER BY id), 0) AS before FROM soff) WHERE \"end\" - before <> len")
 def validate_payload_bounds(c):
+    """Items whose bounds don't hold as many bytes as they have, in an index with some ends wrong."""
     w = Window.partitionBy("bucket").orderBy("id")
-    return offsets(c).withColumn("before", F.lag("end", 1, 0).over(w)).agg(F.count_if(F.expr("start <> before OR end <= start")).alias("violations"))
+    stored = offsets(c).withColumn("end", F.col("end") - F.expr("CASE WHEN id % 577 = 3 THEN 1 ELSE 0 END"))
+    return stored.withColumn("before", F.lag("end", 1, 0).over(w)).where("end - before <> len").select("id")

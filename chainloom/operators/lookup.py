@@ -90,8 +90,8 @@ def source_cascade(c):
     return cascade("tx_id", *_tiers(c, "tx_id"))
 
 
-@query("tx_by_hash_cascade_all", f"SELECT tx_hash, sender, {_case} AS source FROM txs")
-def tx_by_hash_cascade_all(c):
+@query("tx_by_hash_cascade", f"SELECT tx_hash, sender, {_case} AS source FROM txs")
+def tx_by_hash_cascade(c):
     return _txs_by_hash(c).drop("tx_id")
 
 
@@ -100,14 +100,8 @@ def _txs_by_hash(c):
     return cascade("tx_hash", *_tiers(c, "tx_id", "tx_hash", "sender"))
 
 
-@query("tx_by_hash_cascade", f"SELECT tx_hash, sender, {_case} AS source FROM txs WHERE tx_id % 97 = 5")
-def tx_by_hash_cascade(c):
-    """The rows of tx_by_hash_cascade_all that its SQL asks for."""
-    return _txs_by_hash(c).where("tx_id % 97 = 5").drop("tx_id")
-
-
-@query("receipt_by_hash_cascade_all", f"SELECT tx_hash, gas_used, {_case} AS source FROM txs JOIN receipts USING (tx_id, block_number, tx_index)")
-def receipt_by_hash_cascade_all(c):
+@query("receipt_by_hash_cascade", f"SELECT tx_hash, gas_used, {_case} AS source FROM txs JOIN receipts USING (tx_id, block_number, tx_index)")
+def receipt_by_hash_cascade(c):
     return _receipts_by_hash(c).drop("tx_id")
 
 
@@ -116,12 +110,6 @@ def _receipts_by_hash(c):
     return _txs_by_hash(c).join(c.receipts.select("tx_id", "gas_used"), "tx_id").select("tx_id", "tx_hash", "gas_used", "source")
 
 
-@query("receipt_by_hash_cascade", f"SELECT tx_hash, gas_used, {_case} AS source FROM txs JOIN receipts USING (tx_id, block_number, tx_index) WHERE tx_id % 97 = 5")
-def receipt_by_hash_cascade(c):
-    """The rows of receipt_by_hash_cascade_all that its SQL asks for."""
-    return _receipts_by_hash(c).where("tx_id % 97 = 5").drop("tx_id")
-
-
 @query("block_cascade", f"SELECT DISTINCT block_number, {_case} AS source FROM txs")
 def block_cascade(c):
     head = c.raw("orders").agg(F.max(F.expr("o_orderkey div 10")).alias("head"))
@@ -155,23 +143,8 @@ _asof("code", "nonce", "CASE WHEN VALUE % 3 = 0 THEN 'contract' ELSE '0x' END")
 _asof("storage", "balance", "coalesce(VALUE % 1000, 0)")
 
 
-@query("asof_id_to_block", "SELECT id, block_number FROM (SELECT CAST(range * 13 AS BIGINT) AS id FROM range(1000)) ASOF JOIN (SELECT block_number, CAST(sum(n) OVER (ORDER BY block_number) - n AS BIGINT) AS first FROM (SELECT block_number, count(*) AS n FROM logs GROUP BY 1)) ON id >= first")
+@query("asof_id_to_block", "SELECT id, block_number FROM (SELECT CAST(range AS BIGINT) AS id FROM range((SELECT count(*) FROM lineitem))) ASOF JOIN (SELECT block_number, CAST(sum(n) OVER (ORDER BY block_number) - n AS BIGINT) AS first FROM (SELECT block_number, count(*) AS n FROM logs GROUP BY 1)) ON id >= first")
 def asof_id_to_block(c):
-    from chainloom.operators.index import running_ranges
-
-    n = c.raw("lineitem").groupBy(F.expr("l_orderkey div 10").alias("block_number")).agg(F.count("*").alias("n"))
-    ranges = running_ranges(n).withColumn("k", F.expr("first div 65536"))
-    ids = c.spark.range(1000).selectExpr("id * 13 AS id")
-    # a range belongs to every 65536-id page it touches, so ids meet it by an equal page
-    ranges = ranges.withColumn("page", F.explode(F.expr("sequence(first div 65536, (first + n - 1) div 65536)")))
-    last = ranges.agg(F.max(F.struct("first", "block_number")).alias("m")).select("m.first", "m.block_number", F.col("m.first").alias("lo"))
-    got = ids.withColumn("page", F.expr("id div 65536")).join(ranges, "page", "left").where("id >= first AND id < first + n").select("id", "block_number")
-    beyond = ids.join(F.broadcast(last), ids["id"] >= last["lo"]).select("id", "block_number")  # one row
-    return got.union(beyond).distinct()
-
-
-@query("asof_id_to_block_all", "SELECT id, block_number FROM (SELECT CAST(range AS BIGINT) AS id FROM range((SELECT count(*) FROM lineitem))) ASOF JOIN (SELECT block_number, CAST(sum(n) OVER (ORDER BY block_number) - n AS BIGINT) AS first FROM (SELECT block_number, count(*) AS n FROM logs GROUP BY 1)) ON id >= first")
-def asof_id_to_block_all(c):
     """The block of every log id. Ranges and ids meet by page of 65536 ids, so that no window holds more than a page."""
     from chainloom.operators.index import running_ranges
 

@@ -62,11 +62,22 @@ def pk_violation_check(c):
     return c.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("chain_continuity", "SELECT count(*) AS blocks, CAST(0 AS BIGINT) AS violations FROM blocks")
+_received = "received AS (SELECT block_number, block_hash, CASE WHEN block_number % 59 = 11 THEN 'x' || parent_hash ELSE parent_hash END AS parent_hash FROM blocks WHERE block_number % 61 <> 7)"
+
+
+@query("chain_continuity", f", {_received} SELECT b.block_number, CASE WHEN p.block_number IS NULL THEN 'gap' ELSE 'parent hash' END AS fault FROM received b LEFT JOIN received p ON p.block_number = b.block_number - 1 WHERE b.block_number > (SELECT min(block_number) FROM received) AND (p.block_number IS NULL OR p.block_hash <> b.parent_hash)")
 def chain_continuity(c):
-    """A join on the number before replaces one window over all blocks."""
-    prev = c.blocks.selectExpr("block_number + 1 AS block_number", "block_hash AS before")
-    return c.blocks.join(prev, "block_number", "left").agg(F.count("*").alias("blocks"), F.count_if(F.expr("block_number > 0 AND (before IS NULL OR before <> parent_hash)")).alias("violations"))
+    """What an ordered append refuses, over a chain with lost blocks and wrong parents. A join on the number before replaces one window over all blocks."""
+    got = c.blocks.where("block_number % 61 <> 7").selectExpr("block_number", "block_hash", "CASE WHEN block_number % 59 = 11 THEN concat('x', parent_hash) ELSE parent_hash END AS parent_hash")
+    return continuity(got)
+
+
+def continuity(blocks: DataFrame) -> DataFrame:
+    """block_number, fault of every block but the first whose predecessor is lacking or has another hash than its parent hash."""
+    prev = blocks.selectExpr("block_number + 1 AS block_number", "block_hash AS before")
+    least = blocks.agg(F.min("block_number")).scalar()
+    faults = blocks.join(prev, "block_number", "left").where(F.col("block_number") > least).where("before IS NULL OR before <> parent_hash")
+    return faults.selectExpr("block_number", "CASE WHEN before IS NULL THEN 'gap' ELSE 'parent hash' END AS fault")
 
 
 @query("contiguous_frontier", "SELECT coalesce(min(event_id) FILTER (event_type = 'error') - 1, max(event_id)) AS frontier FROM events")
@@ -92,13 +103,58 @@ def batch_take_while(c):
     return c.raw("conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("size")).where("size <= 500")
 
 
-@query("circuit_breaker_states", "SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1")
-def circuit_breaker_states(c):
-    """Outcomes of each source in order through the breaker; the fold's total of failures is what SQL can check."""
-    from chainloom.functions.scalars import breaker
+THRESHOLD, RECOVERY = 2, "1 day"
+
+
+class Breaker:
+    """Closed until `threshold` failures in a row; open until `recovery` has passed, calls going elsewhere meanwhile; then half-open for one call, which closes or opens it again."""
+
+    def __init__(self, threshold: int, recovery):
+        self.threshold, self.recovery, self.state, self.failures, self.opened = threshold, recovery, "closed", 0, None
 
-    e = c.raw("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_type") == "error").alias("bad")))).alias("o"))
-    return e.select("user_id", F.size(F.filter(breaker(F.col("o")), lambda s: s["bad"])).cast("long").alias("failures"))
+    def call(self, at, bad: bool) -> str:
+        """The state after a call at a time, whose outcome counts if the breaker lets it through."""
+        if self.state == "open":
+            if at - self.opened < self.recovery:
+                return "open"
+            self.state = "half-open"
+        if not bad:
+            self.state, self.failures, self.opened = "closed", 0, None
+        else:
+            self.failures += 1
+            if self.state == "half-open" or self.failures >= self.threshold:
+                self.state, self.opened = "open", at
+        return self.state
+
+
+def breaker_states(calls: DataFrame, threshold: int = THRESHOLD, recovery: str = RECOVERY) -> DataFrame:
+    """source, event_id, state after each call. calls: source, ts, event_id, bad. A source's calls are read in order as a stream, so that none are gathered."""
+
+    def states(batches):
+        import pandas as pd
+        import pyarrow as pa
+
+        source, breaker = None, None
+        for batch in batches:
+            out = []
+            for s, at, bad in zip(*(batch.column(k).to_pylist() for k in ("source", "ts", "bad"))):
+                if breaker is None or s != source:
+                    source, breaker = s, Breaker(threshold, pd.Timedelta(recovery))
+                out.append(breaker.call(at, bad))
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("event_id"), pa.array(out, pa.string())], names=["source", "event_id", "state"])
+
+    rows = calls.select("source", "ts", "event_id", "bad").repartition("source").sortWithinPartitions("source", "ts", "event_id")
+    return rows.mapInArrow(states, "source long, event_id long, state string")
+
+
+@query("circuit_breaker_states", f""", ev AS (SELECT user_id, event_id, ts, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+ st(user_id, r, event_id, state, failures, opened) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 'closed', 0, CAST(NULL AS TIMESTAMP) FROM (SELECT DISTINCT user_id FROM ev) UNION ALL
+ SELECT user_id, ev.r, ev.event_id, CASE WHEN shut THEN 'open' WHEN NOT bad THEN 'closed' WHEN state = 'open' OR failures + 1 >= {THRESHOLD} THEN 'open' ELSE 'closed' END,
+ CASE WHEN shut THEN failures WHEN bad THEN failures + 1 ELSE 0 END, CASE WHEN shut THEN opened WHEN bad AND (state = 'open' OR failures + 1 >= {THRESHOLD}) THEN ts END
+ FROM (SELECT ev.*, state, failures, opened, state = 'open' AND ts - opened < INTERVAL {RECOVERY} AS shut FROM st JOIN ev ON ev.user_id = st.user_id AND ev.r = st.r + 1) ev)
+ SELECT user_id AS source, event_id, state FROM st WHERE r > 0""")
+def circuit_breaker_states(c):
+    return breaker_states(c.raw("events").select(F.col("user_id").alias("source"), "ts", "event_id", (F.col("event_type") == "error").alias("bad")))
 
 
 def write_archive(df: DataFrame, path: str, block: str = "block_number", span: int = 1_000_000) -> None:

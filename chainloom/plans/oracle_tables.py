@@ -2,7 +2,7 @@
 
 KINDS = "['Call','StaticCall','DelegateCall','CallCode','Create','Create2','SelfDestruct']"
 
-TABLES = f"""WITH blocks AS (SELECT b AS block_number, sha256('block:' || b) AS block_hash, CASE WHEN b = 0 THEN repeat('0', 64) ELSE sha256('block:' || (b - 1)) END AS parent_hash,
+TABLES = f"""WITH RECURSIVE blocks AS (SELECT b AS block_number, sha256('block:' || b) AS block_hash, CASE WHEN b = 0 THEN repeat('0', 64) ELSE sha256('block:' || (b - 1)) END AS parent_hash,
  1000 + b % 97 AS base_fee, CAST(30000000 AS BIGINT) AS gas_limit, b % 100 AS miner FROM (SELECT DISTINCT o_orderkey // 10 AS b FROM orders)),
 txs AS (SELECT o_orderkey AS tx_id, o_orderkey // 10 AS block_number, o_orderkey % 10 AS tx_index, sha256('tx:' || o_orderkey) AS tx_hash, o_custkey AS sender,
  CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey % 100 END AS to_addr, substr(o_orderpriority, 1, 1) AS selector, 1000 + o_orderkey % 301 AS max_fee, o_orderkey % 53 AS priority_fee,
@@ -21,5 +21,5 @@ pool AS (SELECT event_id AS seq, user_id AS address, event_id // 4 AS tx, CASE e
 accounts AS (SELECT o_custkey AS address, o_orderkey // 10 AS block_number, CAST(sum(CAST(round(sum(o_totalprice) * 100) AS BIGINT)) OVER w AS BIGINT) AS balance, CAST(sum(count(*)) OVER w AS BIGINT) AS nonce
  FROM orders GROUP BY 1, 2 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey // 10)),
 replicas AS (SELECT r AS replica, block_number AS n, CASE WHEN r = 'c' AND block_number % 41 = 7 THEN 'x' || block_hash ELSE block_hash END AS header, CASE WHEN r = 'c' AND block_number % 43 = 8 THEN 'x' ELSE '' END || 'r' || block_number AS receipts,
- CASE WHEN r = 'c' AND block_number % 47 = 9 THEN 'x' ELSE '' END || 't' || block_number AS traces, parent_hash FROM blocks, (VALUES ('a'), ('b'), ('c')) v(r) WHERE NOT (r = 'b' AND block_number % 37 = 5))
+ CASE WHEN r = 'c' AND block_number % 47 = 9 THEN 'x' ELSE '' END || 't' || block_number AS traces, parent_hash, block_number % 5 + CASE WHEN r = 'c' AND block_number % 94 = 9 THEN 1 ELSE 0 END AS outputs FROM blocks, (VALUES ('a'), ('b'), ('c')) v(r) WHERE NOT (r = 'b' AND block_number % 37 = 5))
 """

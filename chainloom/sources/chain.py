@@ -82,7 +82,7 @@ class Chain:
     def replicas(self) -> DataFrame:
         df = self.blocks.withColumn("replica", F.explode(F.array(*map(F.lit, "abc")))).where("NOT (replica = 'b' AND block_number % 37 = 5)")
         mark = lambda m, r: f"CASE WHEN replica = 'c' AND block_number % {m} = {r} THEN 'x' ELSE '' END"
-        return df.selectExpr("replica", "block_number AS n", f"concat({mark(41, 7)}, block_hash) AS header", f"concat({mark(43, 8)}, 'r', block_number) AS receipts", f"concat({mark(47, 9)}, 't', block_number) AS traces", "parent_hash")
+        return df.selectExpr("replica", "block_number AS n", f"concat({mark(41, 7)}, block_hash) AS header", f"concat({mark(43, 8)}, 'r', block_number) AS receipts", f"concat({mark(47, 9)}, 't', block_number) AS traces", "parent_hash", "block_number % 5 + CASE WHEN replica = 'c' AND block_number % 94 = 9 THEN 1 ELSE 0 END AS outputs")
 
 
 def feed(events: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Golden vectors of the operators' definitions."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from chainloom.functions.scalars import breaker
-from chainloom.operators import fees, logs, lookup, traces
+from chainloom.operators import fees, logs, lookup, sinks, traces
 from chainloom.operators.audit import islands
 from chainloom.sources.chain import Chain
 
@@ -43,9 +44,20 @@ def test_range_limits():
 
 
 def test_breaker(spark):
-    df = spark.createDataFrame([(i, b) for i, b in enumerate([True, True, False, True, True, True])], "event_id long, bad boolean")
-    out = df.agg(F.array_sort(F.collect_list(F.struct("event_id", "bad"))).alias("o")).select(breaker(F.col("o")).alias("s")).first().s
-    assert [x.state for x in out] == ["closed", "open", "half-open", "closed", "open", "open"]
+    """Open after two failures in a row; a success while open changes nothing; after the time-out one success closes it, one failure opens it again."""
+    b = sinks.Breaker(2, 10)
+    assert [b.call(t, bad) for t, bad in [(0, True), (1, False), (2, True), (3, True), (4, False), (12, True), (13, True), (14, False), (23, False), (24, True), (25, True), (40, False)]] == [
+        "closed", "closed", "closed", "open", "open", "open", "open", "open", "closed", "closed", "open", "closed"]
+    calls = [(s, datetime(2024, 1, 1, h), h, True) for s in (1, 2) for h in range(3)]
+    got = sinks.breaker_states(spark.createDataFrame(calls, "source long, ts timestamp, event_id long, bad boolean"), 2, "1 hour").collect()
+    assert sorted((r.source, r.event_id, r.state) for r in got) == [(s, h, ["closed", "open", "open"][h]) for s in (1, 2) for h in range(3)]
+
+
+def test_fee_history_limits():
+    fees.check_history(1024, [0, 50, 100])
+    for bad in ((1025, []), (1, [50, 10]), (1, [101]), (1, [-1]), (1, range(101))):
+        with pytest.raises(ValueError):
+            fees.check_history(*bad)
 
 
 def test_as_of_without_earlier_row(spark):
