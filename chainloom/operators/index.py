@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chainloom.registry import query
 
-PAGE, HALF, ITEMS = 65536, 32768, 1024
+PAGE, HALF, ITEMS, WORD = 65536, 32768, 1024, 64
 
 
 def running_ranges(counts: DataFrame, key: str = "block_number", chunk: int = 1024) -> DataFrame:
@@ -90,10 +90,18 @@ def filters_trace(c):
     return extract(c.traces, "tx_id", From=F.col("from_addr"), To=F.col("to_addr"), TopLevel=F.when(F.col("depth") == 0, F.lit("1")))
 
 
-def pages(filters):
-    """The inverted index: for each filter value and page of 65536 ids two bitmaps of 32768 bits, built with partial aggregation, and their cardinality."""
-    df = filters.selectExpr("kind", "value", f"id div {PAGE} AS page", f"(id % {PAGE}) div {HALF} AS half", f"id % {HALF} AS bit")
-    return df.groupBy("kind", "value", "page", "half").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+def words(filters):
+    """The inverted index: for each filter value and page of 65536 ids the 64-bit words that hold any, as rows (kind, value, page, word, bits). Built with partial aggregation. A
+    value seen once costs one row, a page full of it 1024; words combine without decoding, and no row grows with a value's ids."""
+    df = filters.selectExpr("kind", "value", f"id div {PAGE} AS page", f"(id % {PAGE}) div {WORD} AS word", f"shiftleft(1L, CAST(id % {WORD} AS INT)) AS bit")
+    return df.groupBy("kind", "value", "page", "word").agg(F.bit_or("bit").alias("bits"))
+
+
+def cut_words(held, frontier: int):
+    """Words with the bits of ids below the frontier alone."""
+    base = f"page * {PAGE} + word * {WORD}"
+    mask = f"CASE WHEN {base} + {WORD} <= {frontier} THEN -1L ELSE shiftrightunsigned(-1L, CAST({WORD} - {frontier} + {base} AS INT)) END"
+    return held.where(f"{base} < {frontier}").withColumn("bits", F.expr(f"bits & ({mask})")).where("bits <> 0")
 
 
 def _low(filters):
@@ -102,7 +110,7 @@ def _low(filters):
 
 @query("bitmap_pages", f", {_ids}, {_flog} SELECT kind, value, id // {PAGE} AS page, (id % {PAGE}) // {HALF} AS half, count(*) AS n FROM flog GROUP BY ALL")
 def bitmap_pages(c):
-    return pages(log_filters(c)).select("kind", "value", "page", "half", F.bitmap_count("bitmap").alias("n"))
+    return words(log_filters(c)).groupBy("kind", "value", "page", F.expr(f"word div {HALF // WORD}").alias("half")).agg(F.sum(F.bit_count("bits")).alias("n"))
 
 
 @query("bitmap_page_stats", f", {_ids}, {_flog} SELECT kind, value, id // {PAGE} AS page, count(*) AS n FROM flog GROUP BY ALL")
@@ -112,34 +120,25 @@ def bitmap_page_stats(c):
 
 @query("bitmap_or", f", {_ids} SELECT id // {PAGE} AS page, count(*) AS n FROM ids WHERE topic0 IN ('A', 'R') GROUP BY 1")
 def bitmap_or(c):
-    p = pages(_low(log_filters(c))).where("kind = 'Topic0' AND value IN ('A', 'R')")
-    return p.groupBy("page", "half").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("n")).groupBy("page").agg(F.sum("n").alias("n"))
+    p = words(_low(log_filters(c)).where("kind = 'Topic0' AND value IN ('A', 'R')"))
+    return p.groupBy("page", "word").agg(F.bit_or("bits").alias("bits")).groupBy("page").agg(F.sum(F.bit_count("bits")).alias("n"))
 
 
 @query("bitmap_and", f", {_ids} SELECT id // {PAGE} AS page, count(*) AS n FROM ids WHERE topic0 IN ('A', 'R') AND topic1 = 'F' GROUP BY 1")
 def bitmap_and(c):
-    """OR within a filter's values, AND across filters; a page that lacks a filter holds nothing."""
-    p = pages(_low(log_filters(c))).where("(kind = 'Topic0' AND value IN ('A', 'R')) OR (kind = 'Topic1' AND value = 'F')")
-    each = p.groupBy("kind", "page", "half").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-    both = each.groupBy("page", "half").agg(F.count("*").alias("k"), F.bitmap_count(F.bitmap_and_agg("bitmap")).alias("n")).where("k = 2 AND n > 0")
+    """OR within a filter's values, AND across filters; a word that lacks a filter holds nothing."""
+    p = words(_low(log_filters(c)).where("(kind = 'Topic0' AND value IN ('A', 'R')) OR (kind = 'Topic1' AND value = 'F')"))
+    each = p.groupBy("kind", "page", "word").agg(F.bit_or("bits").alias("bits"))
+    both = each.groupBy("page", "word").agg(F.count("*").alias("k"), F.bit_count(F.bit_and("bits")).alias("n")).where("k = 2 AND n > 0")
     return both.groupBy("page").agg(F.sum("n").alias("n"))
 
 
 @query("bitmap_member", f", {_ids} SELECT id, topic0 = 'R' AS member FROM ids")
 def bitmap_member(c):
-    """Every log id tested against the bitmaps of one value."""
-    p = pages(_low(log_filters(c)).where("kind = 'Topic0' AND value = 'R'")).select("page", "half", F.col("bitmap").alias("b"))
-    ids = log_ids(c).selectExpr("id", f"id div {PAGE} AS page", f"(id % {PAGE}) div {HALF} AS half", f"id % {HALF} AS bit")
-    return _member(ids, p)
-
-
-def _bit_set():
-    """Whether `bit` is set in the bitmap `b`."""
-    return F.expr("getbit(CAST(conv(hex(substring(b, CAST(bit div 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(bit % 8 AS INT)) = 1")
-
-
-def _member(ids, p):
-    return ids.join(p, ["page", "half"], "left").select("id", F.coalesce(_bit_set(), F.lit(False)).alias("member"))
+    """Every log id tested against the words of one value."""
+    p = words(_low(log_filters(c)).where("kind = 'Topic0' AND value = 'R'")).select("page", "word", "bits")
+    ids = log_ids(c).selectExpr("id", f"id div {PAGE} AS page", f"(id % {PAGE}) div {WORD} AS word")
+    return ids.join(p, ["page", "word"], "left").select("id", F.expr(f"coalesce(shiftright(bits, CAST(id % {WORD} AS INT)) & 1 = 1, false)").alias("member"))
 
 
 @query("bitmap_merge_committed", f", {_ids} SELECT topic0 AS value, count(*) AS n FROM ids GROUP BY 1")
@@ -147,16 +146,9 @@ def bitmap_merge_committed(c):
     """Pages of an index whose last flush failed: ids from the committed frontier on were written, under a wrong value at that. They are cut off before the flush is done again."""
     f, frontier = _low(log_filters(c)).where("kind = 'Topic0'"), 1000
     failed = f.where(f"id >= {frontier} AND id < {frontier} + 700").withColumn("value", F.lit("A"))
-    held = cut_pages(pages(f.where(f"id < {frontier}").union(failed)), c.spark.range(frontier))
-    merged = held.union(pages(f.where(f"id >= {frontier}"))).groupBy("value", "page", "half").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("n"))
-    return merged.groupBy("value").agg(F.sum("n").alias("n"))
-
-
-def cut_pages(held, committed):
-    """Pages with the committed ids' bits alone: each is joined with its place's mask and ANDed."""
-    mask = pages(committed.select("id", F.lit("").alias("kind"), F.lit("").alias("value"))).select("page", "half", F.col("bitmap").alias("mask"))
-    both = held.join(mask, ["page", "half"]).select("kind", "value", "page", "half", F.explode(F.array("bitmap", "mask")).alias("bitmap"))
-    return both.groupBy("kind", "value", "page", "half").agg(F.bitmap_and_agg("bitmap").alias("bitmap"))
+    held = cut_words(words(f.where(f"id < {frontier}").union(failed)), frontier)
+    merged = held.union(words(f.where(f"id >= {frontier}"))).groupBy("value", "page", "word").agg(F.bit_or("bits").alias("bits"))
+    return merged.groupBy("value").agg(F.sum(F.bit_count("bits")).alias("n"))
 
 
 def all_filters(c):
@@ -181,19 +173,14 @@ def stored_filters(filters):
 def bitmap_validate(c):
     """Every filter of every family against an index with planted faults."""
     f = all_filters(c)
-    return bitmap_differences(f, stored_filters(f))
+    return bitmap_differences(f, words(stored_filters(f)))
 
 
 def bitmap_differences(wanted, stored):
-    """Bits that a filter should have set and hasn't, and bits set that no row has. Expected bits are tested one by one where they meet their page; what a page counts beyond those
-    found in it is orphaned, so nothing is decoded. A key holds 32768 bits at most."""
-    key = ["kind", "value", "page", "half"]
-    want = wanted.distinct().selectExpr("kind", "value", f"id div {PAGE} AS page", f"(id % {PAGE}) div {HALF} AS half", f"id % {HALF} AS bit")
-    have = pages(stored).select(*key, F.col("bitmap").alias("b"), F.bitmap_count("bitmap").alias("set"))
-    both = want.join(have, key, "full").select(*key, "bit", "set", (F.col("bit").isNotNull() & F.coalesce(_bit_set(), F.lit(False))).alias("found"))
-    n = both.groupBy(*key).agg(F.count("bit").alias("wanted"), F.count_if("found").alias("found"), F.coalesce(F.max("set"), F.lit(0)).alias("set"))
-    sums = n.agg(F.coalesce(F.sum(F.col("wanted") - F.col("found")), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.col("set") - F.col("found")), F.lit(0)).alias("orphaned"))
-    return sums.select(F.expr("stack(2, 'missing', missing, 'orphaned', orphaned) AS (side, n)"))
+    """Filters against words: bits that a filter should have set and hasn't, and bits set that no row has, word by word."""
+    both = words(wanted).withColumnRenamed("bits", "w").join(stored.withColumnRenamed("bits", "h"), ["kind", "value", "page", "word"], "full")
+    count = lambda x, y: F.coalesce(F.sum(F.expr(f"bit_count(coalesce({x}, 0L) & ~coalesce({y}, 0L))")), F.lit(0))
+    return both.agg(count("w", "h").alias("missing"), count("h", "w").alias("orphaned")).select(F.expr("stack(2, 'missing', missing, 'orphaned', orphaned) AS (side, n)"))
 
 
 @query("bitmap_diff_sample", f", {_ids} SELECT topic0 AS value, string_agg(id, ',' ORDER BY id) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY topic0 ORDER BY id) AS r FROM ids) WHERE r <= 5 GROUP BY 1")

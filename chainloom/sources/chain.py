@@ -69,8 +69,7 @@ class Chain:
 
     @cached_property
     def pool(self) -> DataFrame:
-        kind = F.expr("CASE event_type WHEN 'signup' THEN 'Insert' WHEN 'view' THEN 'Insert' WHEN 'click' THEN 'Commit' WHEN 'error' THEN 'Drop' ELSE 'Evict' END")
-        return self.raw("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("address"), F.expr("event_id div 4").alias("tx"), kind.alias("kind"), "ts")
+        return pool(self.raw("events"))
 
     @cached_property
     def accounts(self) -> DataFrame:
@@ -89,3 +88,9 @@ def feed(events: DataFrame) -> DataFrame:
     """Block events of a batch or a stream."""
     state = F.expr("CASE event_type WHEN 'view' THEN 'Proposed' WHEN 'click' THEN 'Voted' WHEN 'purchase' THEN 'Finalized' WHEN 'signup' THEN 'Verified' ELSE 'Gap' END")
     return events.select(F.col("event_id").alias("seq"), F.expr("event_id div 3").alias("block_number"), state.alias("commit_state"), "ts")
+
+
+def pool(events: DataFrame) -> DataFrame:
+    """Mempool events of a batch or a stream."""
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 'Insert' WHEN 'view' THEN 'Insert' WHEN 'click' THEN 'Commit' WHEN 'error' THEN 'Drop' ELSE 'Evict' END")
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("address"), F.expr("event_id div 4").alias("tx"), kind.alias("kind"), "ts")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainloom.registry import query
-from chainloom.sources.chain import Chain, feed
+from chainloom.sources.chain import Chain, feed, pool
 
 
 def event_stream(c: Chain, files: int = 16) -> DataFrame:
@@ -17,8 +17,9 @@ def event_stream(c: Chain, files: int = 16) -> DataFrame:
     return c.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{c.dir}/events.parquet*")
 
 
-def drain(c: Chain, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, each batch into a table of its own under the shared folder: a batch that is run again replaces itself."""
+def drain(c: Chain, stream: DataFrame, mode: str = "append", numbered: bool = False) -> DataFrame:
+    """Runs a stream over all that is there, each batch into a table of its own under the shared folder: a batch that is run again replaces itself. numbered: `batch` is the number of
+    the batch that wrote a row."""
     sc = c.spark.sparkContext
     if not sc.getCheckpointDir():
         if not (folder := c.spark.conf.get("spark.checkpoint.dir", None)):
@@ -27,10 +28,18 @@ def drain(c: Chain, stream: DataFrame, mode: str = "append") -> DataFrame:
     root = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/batch={number}")
+        batch = batch.withColumn("batch", F.lit(number)) if numbered else batch
+        batch.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/{number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return c.spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
+    return c.spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{root}/out").select(*stream.columns)
+
+
+def drain_updates(c: Chain, stream: DataFrame, key: str) -> DataFrame:
+    """Runs a streaming aggregate over all that is there: each batch writes the keys that it changed, and a key's last state counts."""
+    numbered = drain(c, stream.withColumn("batch", F.lit(0)), "update", numbered=True)
+    state = F.struct(*[c for c in stream.columns if c != key])
+    return numbered.groupBy(key).agg(F.max_by(state, "batch").alias("_v")).select(key, "_v.*").select(*stream.columns)
 
 
 @query("stream_block_events", "SELECT seq, block_number, commit_state FROM feed")
@@ -59,12 +68,14 @@ def stream_session(c):
 
 @query("stream_gap_detect", "SELECT seq FROM feed WHERE commit_state = 'Gap'")
 def stream_gap_detect(c):
-    return c.feed.where("commit_state = 'Gap'").select("seq")
+    return drain(c, feed(event_stream(c)).where("commit_state = 'Gap'").select("seq"))
 
 
 @query("buffer_latest_block", "SELECT block_number, max(seq) AS seq, arg_max(commit_state, seq) AS state FROM feed WHERE commit_state IN ('Proposed', 'Voted', 'Finalized') GROUP BY 1")
 def buffer_latest_block(c):
-    return c.feed.where("commit_state IN ('Proposed', 'Voted', 'Finalized')").groupBy("block_number").agg(F.max("seq").alias("seq"), F.max_by("commit_state", "seq").alias("state"))
+    """A block proposed again replaces the earlier one: the state is kept per block, and each batch gives what it changed."""
+    f = feed(event_stream(c)).where("commit_state IN ('Proposed', 'Voted', 'Finalized')")
+    return drain_updates(c, f.groupBy("block_number").agg(F.max("seq").alias("seq"), F.max_by("commit_state", "seq").alias("state")), "block_number")
 
 
 @query("ring_buffer", "SELECT block_number, seq FROM (SELECT block_number, max(seq) AS seq FROM feed GROUP BY 1) ORDER BY seq DESC LIMIT 1024")
@@ -74,23 +85,28 @@ def ring_buffer(c):
 
 @query("ws_new_heads", "SELECT seq, block_number FROM feed WHERE commit_state = 'Proposed'")
 def ws_new_heads(c):
-    return c.feed.where("commit_state = 'Proposed'").select("seq", "block_number")
+    return drain(c, heads(feed(event_stream(c))))
+
+
+def heads(events: DataFrame) -> DataFrame:
+    return events.where("commit_state = 'Proposed'").select("seq", "block_number")
 
 
 @query("ws_logs", "SELECT f.seq, l.block_number, l.log_index FROM feed f JOIN logs l USING (block_number) WHERE commit_state = 'Proposed' AND address < 4")
 def ws_logs(c):
-    return ws_new_heads(c).join(c.logs.where("address < 4"), "block_number").select("seq", "block_number", "log_index")
+    """Each new head joined with the logs of its block as it comes: a stream against a table."""
+    return drain(c, heads(feed(event_stream(c))).join(c.logs.where("address < 4"), "block_number").select("seq", "block_number", "log_index"))
 
 
 @query("ws_all_states_logs", "SELECT f.seq, f.commit_state, l.block_number, l.log_index FROM feed f JOIN logs l USING (block_number) WHERE commit_state <> 'Gap' AND address < 3")
 def ws_all_states_logs(c):
-    return c.feed.where("commit_state <> 'Gap'").join(c.logs.where("address < 3"), "block_number").select("seq", "commit_state", "block_number", "log_index")
+    return drain(c, feed(event_stream(c)).where("commit_state <> 'Gap'").join(c.logs.where("address < 3"), "block_number").select("seq", "commit_state", "block_number", "log_index"))
 
 
 @query("subscription_fanout", "SELECT c_custkey AS subscriber, seq FROM feed JOIN customer ON c_custkey % 50 = block_number % 50 WHERE commit_state = 'Proposed'")
 def subscription_fanout(c):
     subs = c.raw("customer").selectExpr("c_custkey AS subscriber", "c_custkey % 50 AS topic")
-    return ws_new_heads(c).withColumn("topic", F.col("block_number") % 50).join(subs, "topic").select("subscriber", "seq")
+    return drain(c, heads(feed(event_stream(c))).withColumn("topic", F.col("block_number") % 50).join(subs, "topic").select("subscriber", "seq"))
 
 
 _status = "CASE arg_max(kind, seq) WHEN 'Insert' THEN 'Tracked' WHEN 'Commit' THEN 'Committed' WHEN 'Drop' THEN 'Dropped' ELSE 'Evicted' END"
@@ -98,13 +114,17 @@ _status = "CASE arg_max(kind, seq) WHEN 'Insert' THEN 'Tracked' WHEN 'Commit' TH
 
 @query("txpool_status", f"SELECT tx, {_status} AS status FROM pool GROUP BY 1")
 def txpool_status(c):
-    """The last event of a transaction decides: a partial aggregate, so a hot transaction is no long list."""
-    return c.pool.groupBy("tx").agg(F.expr(_status.replace("arg_max", "max_by")).alias("status"))
+    """The last event of a transaction decides. The state is one row per transaction, so a hot one is no long list."""
+    return drain_updates(c, status_of(pool(event_stream(c))), "tx")
+
+
+def status_of(events: DataFrame) -> DataFrame:
+    return events.groupBy("tx").agg(F.expr(_status.replace("arg_max", "max_by")).alias("status"))
 
 
 @query("txpool_by_address", f"SELECT DISTINCT address, tx, status FROM pool JOIN (SELECT tx, {_status} AS status FROM pool GROUP BY 1) USING (tx)")
 def txpool_by_address(c):
-    return c.pool.select("address", "tx").distinct().join(txpool_status(c), "tx").select("address", "tx", "status")
+    return c.pool.select("address", "tx").distinct().join(status_of(c.pool), "tx").select("address", "tx", "status")
 
 
 @query("txpool_snapshot", "SELECT coalesce(k.tx, s.tx) AS tx, CASE WHEN k.tx IS NULL THEN 'inserted' WHEN s.tx IS NULL THEN 'removed' ELSE 'tracked' END AS change FROM (SELECT DISTINCT tx FROM pool WHERE tx % 3 <> 0) k FULL JOIN (SELECT DISTINCT tx FROM pool WHERE tx % 2 = 0) s ON k.tx = s.tx")
@@ -122,7 +142,7 @@ def txpool_ttl(c):
 
 @query("txpool_dedup", "SELECT tx, min(seq) AS seq FROM pool WHERE kind = 'Insert' GROUP BY 1")
 def txpool_dedup(c):
-    return c.pool.where("kind = 'Insert'").groupBy("tx").agg(F.min("seq").alias("seq"))
+    return drain_updates(c, pool(event_stream(c)).where("kind = 'Insert'").groupBy("tx").agg(F.min("seq").alias("seq")), "tx")
 
 
 @query("tx_sync_interval_join", "SELECT tx, min(f.seq) AS included FROM pool p JOIN feed f ON f.block_number = p.tx AND f.ts BETWEEN p.ts - INTERVAL 12 HOUR AND p.ts + INTERVAL 12 HOUR WHERE p.kind = 'Insert' AND commit_state = 'Proposed' GROUP BY 1")
