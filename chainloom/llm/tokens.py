@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -70,6 +71,10 @@ class Words(dict):
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Ids of a chunk without blanks, as the tokenizer file gives them: plain Latin chunks by its model from their pieces, all others by its whole pipeline.
     As the file drops white space and no piece spans any, a text's ids are those of its chunks in turn."""
@@ -84,12 +89,15 @@ class WordIds:
         self.pieces, self.chunks = Words(self.piece), Words(self.chunk)
 
     def piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))], "<u4").tobytes()
+        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)  # printable ASCII stands for itself
+        return _packed([t.id for t in self.model.tokenize(signs)])
 
     def chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self.pieces[chunk.lower()]  # one piece
         if _latin.fullmatch(chunk) and "<|" not in chunk:
             return b"".join(map(self.pieces.__getitem__, self.find(chunk.lower())))
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def column(self, column, end: int):
         """(ids, row offsets) of a slice, with the id `end` after each row."""
