@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from functools import reduce
 
@@ -15,12 +17,13 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir."""
+    """The folder all executors and the driver share: spark.checkpoint.dir. Where that is unset, a local one is made if all run in this one process; a cluster must set it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chainloom-"))
     return sc.getCheckpointDir()
 
 
