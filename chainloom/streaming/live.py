@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -22,9 +24,10 @@ def drain(c: Chain, stream: DataFrame, mode: str = "append", numbered: bool = Fa
     the batch that wrote a row."""
     sc = c.spark.sparkContext
     if not sc.getCheckpointDir():
-        if not (folder := c.spark.conf.get("spark.checkpoint.dir", None)):
+        folder = c.spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # one process may do with a folder of its own
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chainloom-"))
     root = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
