@@ -37,6 +37,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
+#: Bytes that opening a file counts as when small files are put together for a task.
+OPEN_COST = 1 << 20
+
+
+def large_reads(spark: SparkSession) -> None:
+    """Lets a task read more small files than Spark's 4 MB a file allow, unless the session says otherwise: many small files in else make as many small files out."""
+    if spark.conf.get("spark.sql.files.openCostInBytes", "4194304") in ("4194304", "4194304b"):
+        spark.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage: a lost executor costs the tasks it ran, not the job. Once a table is written, the shuffles that led to it go."""
 
@@ -44,6 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+        large_reads(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
