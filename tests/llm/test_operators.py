@@ -206,6 +206,16 @@ def test_line_dedup_of_crowds(spark):
     check_lines(spark.createDataFrame(rows + [(None, rows[0][1]), (None, None)], "doc_id long, text string"), [*rows, (None, rows[0][1]), (None, None)])
 
 
+def test_line_dedup_leaves_no_link_out(spark):
+    """Forty lines that differ from one another by a word or two of forty: each two of them are linked, and each document counts all its links."""
+    base = [f"w{j}" for j in range(40)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(40, rows[7][1])], "doc_id long, text string")
+    lines, links = line_dedup.matched_lines(docs)
+    assert len({frozenset(x) for x in links.collect()}) == links.count() == 40 * 39 // 2
+    assert {(r.doc_id, r.n_linked, r.n_links) for r in line_dedup.line_report(docs).collect()} == {(i, int(i > 0), 39) for i in range(41)}
+
+
 def check_lines(docs, rows):
     """Against every pair of lines: what goes, that links are true, and that they connect what all links do."""
     lines, links = line_dedup.matched_lines(docs)
