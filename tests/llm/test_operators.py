@@ -216,6 +216,16 @@ def test_line_dedup_leaves_no_link_out(spark):
     assert {(r.doc_id, r.n_linked, r.n_links) for r in line_dedup.line_report(docs).collect()} == {(i, int(i > 0), 39) for i in range(41)}
 
 
+def test_line_dedup_counts_a_crowd_without_its_pairs(spark, monkeypatch):
+    """Two hundred lines that differ by a word or two of forty: all 199 links of each are counted, but next to none of their 19,900 pairs is made."""
+    base, made, real = [f"w{j}" for j in range(40)], [], line_dedup.candidates
+    rows = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]])) for i in range(200)]
+    monkeypatch.setattr(line_dedup, "candidates", lambda *a: made.append(real(*a)) or made[-1])
+    report = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_linked, r.n_links) for r in report} == {(i, int(i > 0), 199) for i in range(200)}
+    assert sum(p.count() for p in made) < 2000
+
+
 def check_lines(docs, rows):
     """Against every pair of lines: what goes, that links are true, and that they connect what all links do."""
     lines, links = line_dedup.matched_lines(docs)
